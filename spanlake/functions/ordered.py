@@ -18,21 +18,23 @@ def time_slice(column: str, seconds: int = HOUR) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
-            values: dict[str, tuple[str, Column]], before: bool = False) -> DataFrame:
+            values: dict[str, tuple[str, Column]], before: bool = False, backwards: bool = False) -> DataFrame:
     """Adds running columns: ``{name: (kind, expr)}`` with kind ``last``, ``sum``, ``max`` or ``min``.
 
-    ``last`` is the newest non-null value so far; ``before`` leaves the current row out.
+    ``last`` is the newest non-null value so far; ``before`` leaves the current row out;
+    ``backwards`` runs from the end of the order to its start.
     The slice must not decrease along ``order``; keys and slice must not be null.
     """
     cut = "_slice"
     df = df.withColumn(cut, slice_by)
     for name, (_, expr) in values.items():
         df = df.withColumn("_x_" + name, expr)
-    within = W.partitionBy(*keys, cut).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
-    onward = W.partitionBy(*keys).orderBy(cut).rowsBetween(W.unboundedPreceding, -1)
+    turn = (lambda c: F.col(c).desc()) if backwards else F.col
+    within = W.partitionBy(*keys, cut).orderBy(*[turn(c) for c in order]).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
+    onward = W.partitionBy(*keys).orderBy(turn(cut)).rowsBetween(W.unboundedPreceding, -1)
     position = F.struct(*order)
     folds = {
-        "last": (lambda c: F.last(c, ignorenulls=True), lambda c: F.max_by(c, F.when(c.isNotNull(), position))),
+        "last": (lambda c: F.last(c, ignorenulls=True), lambda c: (F.min_by if backwards else F.max_by)(c, F.when(c.isNotNull(), position))),
         "sum": (F.sum, F.sum), "max": (F.max, F.max), "min": (F.min, F.min),
     }
     summary = df.groupBy(*keys, cut).agg(*[folds[kind][1](F.col("_x_" + n)).alias("_s_" + n) for n, (kind, _) in values.items()])
@@ -51,10 +53,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
     return out.drop(cut, *["_x_" + n for n in values], *["_l_" + n for n in values], *["_c_" + n for n in values])
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, columns: dict[str, str]) -> DataFrame:
-    """Adds the previous row's value of each column (``{new: old}``), null on a key's first row."""
+def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, columns: dict[str, str],
+             backwards: bool = False) -> DataFrame:
+    """Adds the previous (or next) row's value of each column (``{new: old}``), null on a key's first (last) row."""
     df = running(df, keys, order, slice_by,
-                 {"_prev": ("last", F.struct(*[F.col(old).alias(new) for new, old in columns.items()]))}, before=True)
+                 {"_prev": ("last", F.struct(*[F.col(old).alias(new) for new, old in columns.items()]))}, before=True, backwards=backwards)
     for new in columns:
         df = df.withColumn(new, F.col("_prev." + new))
     return df.drop("_prev")
