@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lineage import written
+from ..functions.once import evaluated
 from ..functions.ordered import previous, running, time_slice
 from ..schemas import ARRIVAL
 
@@ -124,7 +126,7 @@ def _attempt(source: str = "_p") -> Column:
 
 def fold(ledger: DataFrame, e: Entity, order: str = "arrival") -> DataFrame:
     """State of every entity named in the ledger; events without an id are left out."""
-    events = lifecycle(ledger, e.families[0]).withColumn(e.key, _id(e)).where(F.col(e.key).isNotNull())
+    events = lifecycle(ledger, e.families[0])
     started = F.col("event_type").endswith("started")
     fields = {c: payload_text(k, "_p") for c, k in {**e.texts, **e.frozen}.items()}
     fields |= {c: payload_optional(k, "_p") for c, k in e.numbers.items()}
@@ -132,9 +134,9 @@ def fold(ledger: DataFrame, e: Entity, order: str = "arrival") -> DataFrame:
     fields |= {c: payload_count(k, "_p") if kind == "bigint" else payload_number(k, "_p", kind) for c, (k, kind) in e.tops.items()}
     if e.attempts:
         fields["attempt"] = _attempt()
-    rows = events.select("instance_id", e.key, arrival(order).alias("_ord"), "occurred_at", started.alias("_started"),
-                         F.when(started, "active").when(F.col("event_type").endswith("failed"), "failed").otherwise("completed").alias("_status"),
-                         *[c.alias(n) for n, c in fields.items()])
+    rows = evaluated(events, F.col("instance_id"), _id(e).alias(e.key), arrival(order).alias("_ord"), F.col("occurred_at"), started.alias("_started"),
+                     F.when(started, "active").when(F.col("event_type").endswith("failed"), "failed").otherwise("completed").alias("_status"),
+                     *[c.alias(n) for n, c in fields.items()]).where(F.col(e.key).isNotNull())
 
     def stamped(value: Column) -> Column:
         return F.struct(F.col("_ord").alias("ord"), value.alias("v"))
@@ -194,21 +196,25 @@ def reduce_llm_calls(ledger: DataFrame, order: str = "arrival", usage: bool = Tr
 COUNTERS = list(LLM.tops)
 
 
-def usage_updates(ledger: DataFrame) -> DataFrame:
-    events = lifecycle(ledger, "llm").where((payload_text("callId", "_p") == "") & payload_flag("accountingUpdate", "_p"))
-    return (events.select("instance_id", *ARRIVAL, payload_text("runId", "_p").alias("run_id"), payload_text("provider", "_p").alias("provider"),
-                          payload_text("model", "_p").alias("model"),
-                          *[(payload_count(k, "_p") if kind == "bigint" else payload_number(k, "_p", kind)).alias(c) for c, (k, kind) in LLM.tops.items()])
-            .where("run_id <> ''"))
+def usage_rows(ledger: DataFrame) -> DataFrame:
+    """What matching needs of every model event, written once since it is read several times."""
+    started = F.col("event_type").endswith("started")
+    texts = {"call_id": "callId", "run_id": "runId", "provider": "provider", "model": "model"}
+    rows = evaluated(lifecycle(ledger, "llm"), F.col("instance_id"), *[F.col(c) for c in ARRIVAL],
+                     *[payload_text(k, "_p").alias(c) for c, k in texts.items()], F.coalesce(payload_flag("accountingUpdate", "_p"), F.lit(False)).alias("update"),
+                     F.when(started, F.col("occurred_at")).alias("start"), F.when(~started, F.col("occurred_at")).alias("end"),
+                     *[(payload_count(k, "_p") if kind == "bigint" else payload_number(k, "_p", kind)).alias(c) for c, (k, kind) in LLM.tops.items()])
+    return written(rows.where("call_id <> '' or (update and run_id <> '')"))
+
 
+def usage_updates(rows: DataFrame) -> DataFrame:
+    return rows.where("call_id = '' and update").select("instance_id", *ARRIVAL, "run_id", "provider", "model", *COUNTERS)
 
-def call_history(ledger: DataFrame, runs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+
+def call_history(rows: DataFrame, runs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Every state a call of the given runs went through: run, provider, model and newest time,
-    valid from its arrival up to ``until``.  ``earlier`` are rows of calls known before this ledger."""
-    events = lifecycle(ledger, "llm").withColumn("call_id", _id(LLM)).where(F.col("call_id").isNotNull())
-    started = F.col("event_type").endswith("started")
-    rows = events.select("instance_id", "call_id", *ARRIVAL, *[F.nullif(payload_text(LLM.texts[c], "_p"), F.lit("")).alias(c) for c in ("run_id", "provider", "model")],
-                         F.when(started, F.col("occurred_at")).alias("start"), F.when(~started, F.col("occurred_at")).alias("end"))
+    valid from its arrival up to ``until``.  ``earlier`` are rows of calls known before."""
+    rows = rows.where("call_id <> ''").select("instance_id", "call_id", *ARRIVAL, *[F.nullif(c, F.lit("")).alias(c) for c in ("run_id", "provider", "model")], "start", "end")
     if earlier is not None:
         rows = rows.unionByName(earlier)
     calls = rows.join(runs, ["instance_id", "run_id"], "left_semi").select("instance_id", "call_id").distinct()
@@ -218,8 +224,9 @@ def call_history(ledger: DataFrame, runs: DataFrame, earlier: DataFrame | None =
         "run_now": ("last", F.col("run_id")), "provider_now": ("last", F.col("provider")), "model_now": ("last", F.col("model")),
         "start_now": ("min", F.when(F.col("start").isNotNull(), F.struct(*ARRIVAL, F.col("start").alias("v")))), "end_now": ("last", F.col("end"))})
     rows = previous(rows.withColumn("_ord", F.struct(*ARRIVAL)), key, order, cut, {"until": "_ord"}, backwards=True)
-    return rows.select("instance_id", "call_id", *ARRIVAL, F.col("run_now").alias("run_id"), F.coalesce("provider_now", F.lit("")).alias("provider"),
-                       F.coalesce("model_now", F.lit("")).alias("model"), F.coalesce("end_now", F.col("start_now.v")).alias("newest"), "until").where("run_id is not null")
+    return written(rows.where("run_now is not null").select(
+        "instance_id", "call_id", *ARRIVAL, F.col("run_now").alias("run_id"), F.coalesce("provider_now", F.lit("")).alias("provider"),
+        F.coalesce("model_now", F.lit("")).alias("model"), F.coalesce("end_now", F.col("start_now.v")).alias("newest"), "until"))
 
 
 def match_usage(ledger: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
@@ -229,8 +236,9 @@ def match_usage(ledger: DataFrame, earlier: DataFrame | None = None) -> DataFram
     A running maximum over the run gives the call; it stands when that call's state was still current.
     Only records whose maximum had been replaced meanwhile look at the states valid at their arrival.
     """
-    updates = usage_updates(ledger)
-    history = call_history(ledger, updates.select("instance_id", "run_id").distinct(), earlier)
+    rows = usage_rows(ledger)
+    updates = usage_updates(rows)
+    history = call_history(rows, updates.select("instance_id", "run_id").distinct(), earlier)
     blank = F.lit("")
     views = F.array(*[F.struct(F.lit(p).alias("by_provider"), F.lit(m).alias("by_model"),
                                (F.col("provider") if p else blank).alias("provider"), (F.col("model") if m else blank).alias("model"))
@@ -245,7 +253,7 @@ def match_usage(ledger: DataFrame, earlier: DataFrame | None = None) -> DataFram
     seen = running(known.unionByName(asked), key, list(ARRIVAL), time_slice("received_at"), {"_best": ("max", F.col("_call"))}).where("_raise is not null")
     stands = F.col("_best.until").isNull() | (F.col("_best.until") > F.struct(*ARRIVAL))
     cols = ["instance_id", *ARRIVAL, "run_id", "_raise"]
-    sure = seen.where(stands).select(*cols, F.col("_best.call_id").alias("call_id"))
+    sure = seen.where(F.col("_best").isNotNull() & stands).select(*cols, F.col("_best.call_id").alias("call_id"))
     doubtful = seen.where(F.col("_best").isNotNull() & ~stands).withColumn("_at", F.struct(*ARRIVAL)).select(*cols, "_at", *key[2:])
     current = known.select(*key, F.col("_call").alias("_cand"))
     settled = (doubtful.join(current, key)
@@ -265,12 +273,11 @@ SESSION_STATE = ["status", "started_at", "ended_at", "end_reason", "message_coun
 
 
 def fold_sessions(ledger: DataFrame, order: str = "arrival") -> DataFrame:
-    events = lifecycle(ledger, "session").withColumn("session_id", payload_text("sessionId", "_p")).where("session_id <> ''")
     started = F.col("event_type").endswith("started")
-    rows = events.select("instance_id", "session_id", arrival(order).alias("_ord"), "occurred_at", started.alias("_started"),
-                         F.when(started, "active").when(F.col("event_type").endswith("failed"), "failed").otherwise("completed").alias("_status"),
+    rows = evaluated(lifecycle(ledger, "session"), F.col("instance_id"), payload_text("sessionId", "_p").alias("session_id"), arrival(order).alias("_ord"),
+                     F.col("occurred_at"), started.alias("_started"), F.when(started, "active").when(F.col("event_type").endswith("failed"), "failed").otherwise("completed").alias("_status"),
                          payload_text("agentId", "_p").alias("agent_id"), payload_text("sessionKeyHash", "_p").alias("_hash"),
-                         payload_text("reason", "_p").alias("end_reason"), payload_count("messageCount", "_p").alias("message_count"))
+                         payload_text("reason", "_p").alias("end_reason"), payload_count("messageCount", "_p").alias("message_count")).where("session_id <> ''")
 
     def stamped(name: str) -> Column:
         return F.struct(F.col("_ord").alias("ord"), F.col(name).alias("v"))

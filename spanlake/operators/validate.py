@@ -7,11 +7,13 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.once import evaluated
 from ..functions.ordered import SEQUENCE_SLICE, previous, running
 from ..schemas import EVENT_TYPES, FUTURE_HOURS, MAX_BATCH_EVENTS, MAX_EVENT_BYTES, SCHEMA_VERSION
 from .filters import instant
 
 IDENTITY = "^[A-Za-z0-9._:-]{1,128}$"
+ENVELOPE_BYTES = 1024  # more than all other fields of an event with valid ids can take
 KEY_PATTERN = "^[A-Za-z][A-Za-z0-9_]*$"
 
 
@@ -44,12 +46,12 @@ def rejection(now: str | None = None) -> Column:
             .when(fails(F.col("source").isin("plugin", "daemon")), "source")
             .when(F.col("process_id").isNotNull() & ~F.col("process_id").between(1, 2**31 - 1), "process_id")
             .when(fails(F.startswith(payload, F.lit("{")) & F.try_parse_json(payload).isNotNull()), "payload")
-            .when((serialized_bytes(payload) > MAX_EVENT_BYTES)
+            .when((F.octet_length(payload) > MAX_EVENT_BYTES - ENVELOPE_BYTES) & (serialized_bytes(payload) > MAX_EVENT_BYTES)
                   & (serialized_bytes(F.to_json(F.try_parse_json(payload))) > MAX_EVENT_BYTES), "size"))
 
 
 def with_reason(df: DataFrame, now: str | None = None) -> DataFrame:
-    return df.withColumn("reason", rejection(now))
+    return evaluated(df, *[F.col(c) for c in df.columns], rejection(now).alias("reason"))
 
 
 def validate_events(df: DataFrame, now: str | None = None) -> tuple[DataFrame, DataFrame]:
