@@ -187,7 +187,7 @@ def reduce_llm_calls(ledger: DataFrame, order: str = "arrival", usage: bool = Tr
     """Model calls; ``usage`` also raises counters by usage records that name only a run."""
     state = fold(ledger, LLM, order)
     if usage:
-        state = merge_states(state.unionByName(usage_states(ledger), allowMissingColumns=True), LLM)
+        state = merge_states(state.unionByName(usage_states(match_usage(ledger)), allowMissingColumns=True), LLM)
     return finish(state, LLM)
 
 
@@ -229,14 +229,17 @@ def call_history(rows: DataFrame, runs: DataFrame, earlier: DataFrame | None = N
         F.coalesce("model_now", F.lit("")).alias("model"), F.coalesce("end_now", F.col("start_now.v")).alias("newest"), "until"))
 
 
-def match_usage(ledger: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+def match_usage(ledger: DataFrame) -> DataFrame:
+    return match_usage_rows(usage_rows(ledger))
+
+
+def match_usage_rows(rows: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Each usage record with the call it raises: the run's newest call known at its arrival, of the
     provider and model it names.
 
     A running maximum over the run gives the call; it stands when that call's state was still current.
     Only records whose maximum had been replaced meanwhile look at the states valid at their arrival.
     """
-    rows = usage_rows(ledger)
     updates = usage_updates(rows)
     history = call_history(rows, updates.select("instance_id", "run_id").distinct(), earlier)
     blank = F.lit("")
@@ -262,9 +265,9 @@ def match_usage(ledger: DataFrame, earlier: DataFrame | None = None) -> DataFram
     return sure.unionByName(settled).select("instance_id", "event_id", "run_id", "call_id", "_raise.*")
 
 
-def usage_states(ledger: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+def usage_states(matches: DataFrame) -> DataFrame:
     """The raises as partial call states: only the counters are set."""
-    return match_usage(ledger, earlier).groupBy("instance_id", "call_id").agg(*[F.max(c).alias(c) for c in COUNTERS])
+    return matches.groupBy("instance_id", "call_id").agg(*[F.max(c).alias(c) for c in COUNTERS])
 
 
 # --- sessions ------------------------------------------------------------------------

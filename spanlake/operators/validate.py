@@ -17,37 +17,37 @@ ENVELOPE_BYTES = 1024  # more than all other fields of an event with valid ids c
 KEY_PATTERN = "^[A-Za-z][A-Za-z0-9_]*$"
 
 
-def serialized_bytes(payload: Column) -> Column:
+def serialized_bytes(payload: Column, of=F.col) -> Column:
     """Size of the whole event as JSON text with the given payload text."""
-    quoted = [('{"schemaVersion":', F.col("schema_version").cast("string")), (',"eventId":"', F.col("event_id")), ('","eventType":"', F.col("event_type")),
-              ('","occurredAt":"', F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), ('","instanceId":"', F.col("instance_id")),
-              ('","producerId":"', F.col("producer_id")), ('","sequence":', F.col("sequence").cast("string")), (',"source":"', F.col("source"))]
+    quoted = [('{"schemaVersion":', of("schema_version").cast("string")), (',"eventId":"', of("event_id")), ('","eventType":"', of("event_type")),
+              ('","occurredAt":"', F.date_format(of("occurred_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), ('","instanceId":"', of("instance_id")),
+              ('","producerId":"', of("producer_id")), ('","sequence":', of("sequence").cast("string")), (',"source":"', of("source"))]
     fixed = sum(len(text) for text, _ in quoted) + len('","payload":}')
     size = F.lit(fixed) + F.octet_length(payload)
     for _, value in quoted:
         size = size + F.coalesce(F.octet_length(value), F.lit(0))
-    return size + F.when(F.col("process_id").isNotNull(), F.length(F.col("process_id").cast("string")) + len(',"processId":')).otherwise(0)
+    return size + F.when(of("process_id").isNotNull(), F.length(of("process_id").cast("string")) + len(',"processId":')).otherwise(0)
 
 
-def rejection(now: str | None = None) -> Column:
-    """Name of the first failing rule, null for a valid event."""
+def rejection(now: str | None = None, of=F.col) -> Column:
+    """Name of the first failing rule, null for a valid event; ``of`` gives a field, by default a column."""
     clock = instant(now) if now else F.current_timestamp()
-    size = F.octet_length("event_id")
-    payload = F.col("payload")
+    size = F.octet_length(of("event_id"))
+    payload = of("payload")
 
     def fails(condition: Column) -> Column:
         return ~F.coalesce(condition, F.lit(False))
 
-    return (F.when(fails(F.col("schema_version") == SCHEMA_VERSION), "schema_version")
+    return (F.when(fails(of("schema_version") == SCHEMA_VERSION), "schema_version")
             .when(fails(size.between(32, 64)), "event_id")
-            .when(fails(F.col("event_type").isin(*EVENT_TYPES)), "event_type")
-            .when(fails((F.unix_micros("occurred_at") >= 0) & (F.col("occurred_at") <= clock + F.expr(f"interval {FUTURE_HOURS} hours"))), "occurred_at")
-            .when(fails(F.col("instance_id").rlike(IDENTITY) & F.col("producer_id").rlike(IDENTITY)), "identity")
-            .when(fails(F.col("source").isin("plugin", "daemon")), "source")
-            .when(F.col("process_id").isNotNull() & ~F.col("process_id").between(1, 2**31 - 1), "process_id")
+            .when(fails(of("event_type").isin(*EVENT_TYPES)), "event_type")
+            .when(fails((F.unix_micros(of("occurred_at")) >= 0) & (of("occurred_at") <= clock + F.expr(f"interval {FUTURE_HOURS} hours"))), "occurred_at")
+            .when(fails(of("instance_id").rlike(IDENTITY) & of("producer_id").rlike(IDENTITY)), "identity")
+            .when(fails(of("source").isin("plugin", "daemon")), "source")
+            .when(of("process_id").isNotNull() & ~of("process_id").between(1, 2**31 - 1), "process_id")
             .when(fails(F.startswith(payload, F.lit("{")) & F.try_parse_json(payload).isNotNull()), "payload")
-            .when((F.octet_length(payload) > MAX_EVENT_BYTES - ENVELOPE_BYTES) & (serialized_bytes(payload) > MAX_EVENT_BYTES)
-                  & (serialized_bytes(F.to_json(F.try_parse_json(payload))) > MAX_EVENT_BYTES), "size"))
+            .when((F.octet_length(payload) > MAX_EVENT_BYTES - ENVELOPE_BYTES) & (serialized_bytes(payload, of) > MAX_EVENT_BYTES)
+                  & (serialized_bytes(F.to_json(F.try_parse_json(payload)), of) > MAX_EVENT_BYTES), "size"))
 
 
 def with_reason(df: DataFrame, now: str | None = None) -> DataFrame:
