@@ -45,8 +45,8 @@ def finished(name: str, state: DataFrame) -> DataFrame:
 class StateStore:
     """Versioned state tables and ledger under one folder all executors can reach."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
+        self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -178,7 +178,7 @@ class StateStore:
         if name == "instances":  # its fold has taken in the old state
             return [[f"v={version}", 0]]
         entries, level = m["tables"].get(name, []) + [[f"v={version}", 0]], 0
-        while sum(1 for _, n in entries if n == level) >= FANOUT:
+        while sum(1 for _, n in entries if n == level) >= self.fanout:
             full = [e for e in entries if e[1] == level]
             rows = self.spark.read.parquet(*[f"{self.root}/{name}/{path}" for path, _ in full])
             path = f"v={version}-{level + 1}"
