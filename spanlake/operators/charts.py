@@ -212,9 +212,10 @@ def histogram(series: DataFrame) -> DataFrame:
     span = series.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("*").alias("_n")).withColumn(
         "_bins", F.least(F.lit(10), F.greatest(F.lit(4), F.ceil(F.sqrt(F.col("_n"))))).cast("int")).withColumn(
         "_w", F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.col("_bins")).otherwise(F.lit(1.0)))
-    bins = span.where("_n > 0").select(F.lit(1).alias("_one"), "_lo", "_w", "_bins", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("bin"))
-    placed = series.withColumn("_one", F.lit(1)).join(span.withColumn("_one", F.lit(1)), "_one").select(
-        F.least(F.col("_bins") - 1, F.greatest(F.lit(0), F.floor((F.col("value") - F.col("_lo")) / F.col("_w")))).cast("int").alias("bin"))
+    frame = span.select(F.struct("_lo", "_w", "_bins")).scalar()
+    bins = span.where("_n > 0").select("_lo", "_w", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("bin"))
+    placed = series.select("value", frame.alias("_f")).select(
+        F.least(F.col("_f._bins") - 1, F.greatest(F.lit(0), F.floor((F.col("value") - F.col("_f._lo")) / F.col("_f._w")))).cast("int").alias("bin"))
     counts = placed.groupBy("bin").agg(F.count("*").alias("count"))
     return bins.join(counts, "bin", "left").select("bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lower"), (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("upper"),
                                                    F.coalesce("count", F.lit(0)).alias("count"))

@@ -123,12 +123,11 @@ def price_agent_models(t: Tables, prices: DataFrame, p: Filters = Filters(), ali
 def price_agents(t: Tables, prices: DataFrame, p: Filters = Filters(), aliases: dict[str, str] = MODEL_ALIASES) -> DataFrame:
     """Agents at the mean cost of a token over all models; cache-write tokens count for agents but not in the mean."""
     models = price_models(t, prices, p, aliases)
-    total = models.agg(F.sum(F.col("costUsd").cast("decimal(38,12)")).cast("double").alias("_cost"),
-                       F.sum(F.expr("inputTokens + cacheReadTokens + outputTokens")).alias("_tokens"))
-    rate = total.select(F.when(F.col("_tokens") > 0, F.col("_cost") / F.col("_tokens")).alias("_rate"), F.lit(1).alias("_one"))
-    agents = agent_stats(t, p).withColumn("_one", F.lit(1))
-    return (agents.join(rate, "_one", "left")
-            .withColumn("costUsd", F.coalesce(F.expr(" + ".join(TOKEN_NAMES)) * F.col("_rate"), "costUsd")).drop("_one", "_rate"))
+    total = models.agg(F.sum(F.col("costUsd").cast("decimal(38,12)")).cast("double").alias("cost"),
+                       F.sum(F.expr("inputTokens + cacheReadTokens + outputTokens")).alias("tokens"))
+    rate = total.select(F.when(F.col("tokens") > 0, F.col("cost") / F.col("tokens"))).scalar()
+    return (agent_stats(t, p).select("*", rate.alias("_rate"))
+            .withColumn("costUsd", F.coalesce(F.expr(" + ".join(TOKEN_NAMES)) * F.col("_rate"), "costUsd")).drop("_rate"))
 
 
 def price_trends(t: Tables, prices: DataFrame, p: Filters = Filters(), period: str = "day", aliases: dict[str, str] = MODEL_ALIASES) -> DataFrame:

@@ -20,7 +20,7 @@ NOW_ORDERS = "2001-12-01 00:00:00"
 NOW_EVENTS = "2024-01-31 00:00:00"
 NOW_INTAKE = "2002-06-01 00:00:00"
 
-SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
 
 # tables with a long computed payload: queries on them should see values, as they would from files
 EVALUATED = {"raw_events", "host_events", "diagnostics"}
@@ -400,14 +400,14 @@ class FixtureTables(Tables):
             from ..operators.reduce import reduce_instances
             return reduce_instances(self.get("ledger"))
         if name.startswith("raw:"):
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name[4:]}.parquet")
-            width = self.spark.sparkContext.defaultParallelism
-            if name[4:] in SPREAD_BY and len(df.inputFiles()) < width:
-                # fewer files than cores: without this one task would do all narrow work
-                df = df.repartition(width, SPREAD_BY[name[4:]])
-            return df
+            return self.spark.read.parquet(f"{self.sf_dir}/{name[4:]}.parquet")
+        if name.startswith("wide:"):
+            df, width = self.get("raw:" + name[5:]), self.spark.sparkContext.defaultParallelism
+            # fewer files than cores: one task would do all the narrow work of these tables
+            return df.repartition(width, SPREAD_BY[name[5:]]) if len(df.inputFiles()) < width else df
         inputs, text = FIXTURE_SQL[name]
         text = _spark_text(text)
-        frames = {i: self.get("raw:" + i if i in DRIVER_TABLES else i) for i in inputs}
+        wide = SPREAD_BY if name in ("raw_lines", "order_events", "hooks") else ()
+        frames = {i: self.get(("wide:" if i in wide else "raw:") + i if i in DRIVER_TABLES else i) for i in inputs}
         df = self.spark.sql(text, **frames) if frames else self.spark.sql(text.format())
         return evaluated(df, *[F.col(c) for c in df.columns]) if name in EVALUATED else df
