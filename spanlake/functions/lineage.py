@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,16 +16,44 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local.setdefault("folder", tempfile.mkdtemp(prefix="run-"))
+    if "folder" not in _local:
+        _local["folder"] = tempfile.mkdtemp(prefix="run-")
+    return _local["folder"]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def application_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables; it goes when the application ends."""
+    folder = f"{shared_folder(spark)}/spanlake-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        where, files = _hadoop(spark, folder)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _marked.add(folder)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 
     They survive the loss of executors, and later readers prune columns instead of recomputing.
+    The table is deleted by ``released`` or at the end of the application.
     """
-    path = f"{shared_folder(df.sparkSession)}/spanlake-{uuid.uuid4().hex}"
+    path = f"{application_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        where, files = _hadoop(df.sparkSession, df.written_path)
+        files.delete(where, True)
