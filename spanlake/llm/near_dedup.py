@@ -7,7 +7,8 @@ threshold stays above the miss probability.  What survives is compared on full s
 
 Groups of copies may be large, so no bucket is expanded into its pairs.  First every member meets only the smallest
 member of each of its buckets.  Buckets whose members are then all connected are done.  In the others, blocks of
-bounded size are compared in memory, only between members not connected yet and of compatible size.
+bounded size are compared in memory, only between members not connected yet and of compatible size, first by signature
+and, for members that are in a surviving pair, on full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import released, written
-from .common import map_texts, salted_join, words
+from .common import map_groups, map_texts, salted_join, words
 from .components import components
 
 
@@ -37,7 +38,7 @@ class NearDedup:
     batch: int = 32            # signature entries looked at in one step
     batches: int = 4
     miss: float = 1e-6         # posterior below which a candidate is dropped
-    block: int = 1000          # members of a bucket compared at once
+    block: int = 500           # members of a bucket compared at once with as many others
 
     @property
     def hashes(self) -> int:
@@ -164,45 +165,94 @@ def _both(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     return salted_join(first, rows.select(F.col("id").alias("b"), F.col(value).alias("b_value")), "b", "a", salts=256)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
-    """Pairs of classes that reach the threshold on full shingle sets."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi")
-    one = texts.select(F.col("doc_id").alias("id"), "text")
-    return written(_both(pairs, one, "text").where(_exact(p)("a_value", "b_value")).select("a", "b").distinct())
+def _verified(pairs: DataFrame, pool: DataFrame, p: NearDedup) -> DataFrame:
+    """Pairs of ids that reach the threshold on full shingle sets."""
+    return _both(pairs.select("a", "b"), pool, "text").where(_exact(p)("a_value", "b_value")).select("a", "b").distinct()
 
 
-def _open_pairs(members: DataFrame, p: NearDedup) -> DataFrame:
-    """Signature survivors among the not yet connected members of every bucket, compared block by block.
+def _pairs(rows: pd.DataFrame, p: NearDedup) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a block that survive the signatures.
 
-    A member of size class c meets classes c and c + 1, as other sizes cannot reach the threshold.
+    Only members of blocks i and j are paired that are not connected yet, have compatible sizes, and share no earlier band.
+    A member of size class c meets classes c and c + 1, as others cannot reach the threshold.
     """
+    sig, bands = _matrix(rows["signature"]), np.array(rows["bands"].tolist())
+    mine, comp, c, n = (rows[x].to_numpy() for x in ("mine", "comp", "c", "n_shingles"))
+    key, g, i, j = (rows[x].iat[0] for x in ("key", "g", "i", "j"))
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    fits = (comp[left, None] != comp[right]) & ((c[left, None] == g) | (c[right] == g))
+    fits &= 100 * np.minimum(n[left, None], n[right]) >= p.percent * np.maximum(n[left, None], n[right])
+    if i == j:
+        fits &= left[:, None] < right
+    x, y = np.nonzero(fits)
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    found = []
+    for at in range(0, len(x), 50_000):
+        a, b = left[x[at:at + 50_000]], right[y[at:at + 50_000]]
+        first = ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+        a, b = a[first], b[first]
+        alive = survivors(sig[a], sig[b], p) >= 0
+        found.append((a[alive], b[alive]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.empty(0, int) for k in (0, 1))
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with one another, from products of their incidence matrix by parts."""
+    shingles, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(at, minlength=len(shingles)) > 1
+    place = np.cumsum(often) - 1
+    row, at = row[often[at]], place[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        part = slice(*np.searchsorted(at, [lo, lo + 4096]))
+        holds = np.zeros((len(sets), 4096), np.float32)
+        holds[row[part], at[part] - lo] = 1
+        out += holds @ holds.T
+    return out.astype(np.int64)
+
+
+BLOCK = "key bigint, g bigint, i bigint, j bigint, mine bigint, id bigint, comp bigint, c bigint, n_shingles bigint, bands array<bigint>, signature binary"
+
+
+def _open_links(members: DataFrame, pool: DataFrame, p: NearDedup) -> DataFrame:
+    """Links among the not yet connected ``members (key, id, comp, n_shingles, bands, signature)`` of every bucket."""
     step = float(np.log(100 / p.percent))
     counted = members.withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step)))
     sides = counted.withColumn("g", F.explode(F.array(F.col("c"), F.col("c") - 1)))
-    sizes = sides.groupBy("key", "g").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    sizes = sides.groupBy("key", "g").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     placed = salted_join(sides.withColumn("kg", F.struct("key", "g")), sizes.select(F.struct("key", "g").alias("kg"), "n"), "kg", "id")
     placed = placed.withColumn("blocks", F.ceil(F.col("n") / F.lit(p.block))).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp", "c", "n_shingles", "signature")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["mine", "id"])
-        sig, mine, comp, c, n, ids = _matrix(rows["signature"]), *(rows[x].to_numpy() for x in ("mine", "comp", "c", "n_shingles", "id"))
-        i, j, g = rows["i"].iat[0], rows["j"].iat[0], rows["g"].iat[0]
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        found = []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & ((c[y] == g) | (c[x] == g))]
-            lo, hi = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-            y = y[100 * lo >= p.percent * hi]
-            if len(y):
-                y = y[survivors(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], p) >= 0]
-                found += [(ids[x], ids[z]) for z in y]
-        return pd.DataFrame({"a": [max(f) for f in found], "b": [min(f) for f in found]}, dtype="int64")
-
-    return dealt.groupBy("key", "g", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select("key", "g", "i", "j", "mine", "id", "comp", "c", "n_shingles", "bands", "signature")
+
+    def open_rows(rows: pd.DataFrame) -> pd.DataFrame | None:
+        x, y = _pairs(rows, p) if len(rows) > 1 else ((), ())
+        return rows.iloc[np.unique(np.concatenate([x, y]))] if len(x) else None
+
+    def exact(rows: pd.DataFrame) -> pd.DataFrame | None:
+        x, y = _pairs(rows, p) if len(rows) > 1 else ((), ())
+        if not len(x):
+            return None
+        sets = [shingle_set(lowered(t), p.shingle) for t in rows["text"]]
+        size, both, ids = np.array([len(s) for s in sets]), _common(sets)[x, y], rows["id"].to_numpy()
+        hit = 100 * both >= p.percent * (size[x] + size[y] - both)
+        return pd.DataFrame({"a": np.maximum(ids[x], ids[y])[hit], "b": np.minimum(ids[x], ids[y])[hit]})
+
+    block = ["key", "g", "i", "j"]
+    asked = map_groups(dealt, block, BLOCK, open_rows)
+    return map_groups(asked.join(pool, "id"), block, "a bigint, b bigint", exact).distinct()
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups (id, component_id)`` after more links between ids have been found."""
+    comp = groups.withColumnRenamed("component_id", "comp")
+    ends = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    merged = components(ends.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ca", "cb").select(F.col("id").alias("comp"), "component_id")
+    ids = comp.union(merged.select(F.col("comp").alias("id"), "comp").join(comp, "id", "left_anti"))
+    return written(salted_join(ids, merged, "comp", "id", how="left").select("id", F.coalesce("component_id", "comp").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
@@ -217,26 +267,31 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     classes = written(linkable.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"),
                                                     F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     buckets = classes.select("id", F.explode("bands").alias("key"))
-    heads = buckets.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").drop("last")
-    stars = salted_join(buckets, heads, "key", "id").where("id > b").select(F.col("id").alias("a"), "b").distinct()
-    scored = _both(stars, classes, "signature").select("a", "b", _posterior(p)("a_value", "b_value").alias("matches")).where("matches >= 0")
+    heads = buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    others = written(salted_join(buckets, heads, "key", "id").where("id > b"))  # members without the first of their bucket
+    stars = others.select(F.col("id").alias("a"), "b").distinct()
+    scored = written(_both(stars, classes, "signature").select("a", "b", _posterior(p)("a_value", "b_value").alias("matches")).where("matches >= 0"))
+    asked = others.select("id").union(others.select("b")).distinct()
+    pool = written(docs.select(F.col("doc_id").alias("id"), "text").join(asked, "id", "left_semi"))
+
     best = scored.groupBy("a").agg(F.max(F.struct("matches", (-F.col("b")).alias("first"))).alias("m")).select("a", (-F.col("m.first")).alias("b"))
     first = written(best)
-    links = _verified(first, docs, p)
-    joined = written(components(links, "a", "b"))
-    released(first)
-
-    labelled = buckets.join(joined.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    joined = written(components(_verified(first, pool, p), "a", "b"))
+    comp = joined.withColumnRenamed("component_id", "comp")
+    apart = scored.join(first, ["a", "b"], "left_anti").join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left")
+    apart = apart.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
+    more = written(_verified(apart, pool, p))
+    if not more.isEmpty():
+        joined = _merged(joined, more)
+
+    comp = joined.withColumnRenamed("component_id", "comp")
+    labelled = others.where("n > 2").select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = salted_join(labelled, mixed, "key", "id").join(classes.select("id", "n_shingles", "signature"), "id")
-    rest = written(_open_pairs(members, p))
+    members = salted_join(labelled, mixed, "key", "id").join(classes.select("id", "n_shingles", "bands", "signature"), "id")
+    rest = written(_open_links(members, pool, p))
     if not rest.isEmpty():
-        more = _verified(rest, docs, p).join(joined.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left")
-        more = more.join(joined.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")
-        merged = components(more.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ca", "cb")
-        ids = joined.select("id", F.col("component_id").alias("c")).union(merged.select("id", F.col("id").alias("c")).join(joined, "id", "left_anti"))
-        joined = written(ids.join(merged.select(F.col("id").alias("c"), "component_id"), "c", "left").select("id", F.coalesce("component_id", "c").alias("component_id")))
-    released(rest)
+        joined = _merged(joined, rest)
+    released(first, more, rest, others, scored, pool)
 
     named = classes.select("class", "id").join(joined, "id", "left").select("class", F.coalesce("component_id", "id").alias("component_id"))
     by_row = salted_join(linkable.select("doc_id", "n_shingles", "class"), named, "class", "doc_id").select("doc_id", "n_shingles", "component_id")
