@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_row(df: DataFrame, *named: str) -> DataFrame:
+    """The whole row as ``_row`` beside the ``named`` columns, so that no other column can clash with added ones."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *named)
+
+
+def rows_of(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

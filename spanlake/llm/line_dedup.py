@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import written
-from .common import WORD, evaluated, salted_join
+from .common import WORD, as_row, columns_of, evaluated, salted_join
 
 BASE, MODULUS, HIGHEST = 1_000_003, (1 << 40) - 87, (1 << 63) - 1
 
@@ -73,15 +73,17 @@ def line_dedup(docs: DataFrame, window: int = 2) -> DataFrame:
     by_hash = found.groupBy(F.xxhash64("chunk").alias("h")).agg(F.collect_list(F.struct("chunk", "first_doc")).alias("same"))
     hits = salted_join(narrow, by_hash, "h", "doc_id")
     marks = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.flatten(F.collect_list("same")).alias("_same"))
-    row = docs.select(*[F.col(f"`{c}`") for c in names]).join(marks, F.col("doc_id") == F.col("_doc"), "left")
-    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    marked = row.where("_same is not null").select(whole, "text", F.col("doc_id").alias("_doc"), "_same")
-    cut = evaluated(chunks(marked, ["_row", "_doc", "_same"], window), F.col("_row"), F.col("_doc"), F.col("chunks"), F.transform("_same", lambda s: s["chunk"]).alias("_bytes"),
+    row = as_row(columns_of(docs, names), "doc_id").join(marks, F.col("doc_id") == F.col("_doc"), "left")
+    # One pass over all rows, as a second one would shuffle the texts again; only texts with marks are cut.
+    marked = row.select("_row", F.when(F.col("_same").isNotNull(), F.col("_row.text")).alias("text"), "_same")
+    cut = evaluated(chunks(marked, ["_row", "_same"], window), F.col("_row"), F.col("chunks"), F.transform("_same", lambda s: s["chunk"]).alias("_bytes"),
                     F.transform("_same", lambda s: s["first_doc"]).alias("_first"))
+
     def kept(c: Column, j: Column) -> Column:
         at = F.array_position("_bytes", c)  # compares the bytes
-        first = F.try_element_at("_first", F.greatest(at, F.lit(1)).cast("int"))
-        return (at == 0) | ((first == F.col("_doc")) & (F.array_position("chunks", c) == j + 1))
-    left = evaluated(cut, F.col("_row"), F.size("chunks").alias("_n"), F.filter("chunks", kept).alias("_left"))
-    changed = left.select(*[(F.array_join("_left", "\n") if c == "text" else F.col("_row")[c]).alias(c) for c in names], (F.col("_n") - F.size("_left")).alias("n_removed"))
-    return changed.union(row.where("_same is null").select(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("n_removed")))
+        first = F.get("_first", (at - F.lit(1)).cast("int"))
+        return (at == 0) | ((first == F.col("_row.doc_id")) & (F.array_position("chunks", c) == j + 1))
+
+    left = evaluated(cut, F.col("_row"), F.size("chunks").alias("_n"), F.when(F.col("_bytes").isNotNull(), F.filter("chunks", kept)).alias("_left"))
+    text = F.when(F.col("_left").isNull(), F.col("_row.text")).otherwise(F.array_join("_left", "\n")).alias("text")
+    return left.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in names], F.coalesce(F.col("_n") - F.size("_left"), F.lit(0)).alias("n_removed"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.lineage import written
-from .common import WORD, word_count
+from .common import WORD, as_row, rows_of, word_count
 
 PERIOD = 1 << 31
 #: The golden ratio in units of 1 / PERIOD, odd, so that a period visits every point once and products stay exact.
@@ -133,5 +133,5 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     threshold = F.pmod(F.xxhash64(F.lit(mix.seed + 1), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor(F.col("_times") + threshold).cast("int")
     chosen = times.select(F.col("doc_id").alias("_doc"), copies.alias("_copies")).where("_copies > 0")
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(F.rlike("text", F.lit(WORD)))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_doc", "_copies", "_copy")
+    joined = as_row(docs.where(F.rlike("text", F.lit(WORD))), "doc_id").join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return rows_of(joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import released, written
-from .common import map_groups, map_texts, salted_join, words
+from .common import as_row, map_groups, map_texts, rows_of, salted_join, words
 from .components import components
 
 
@@ -303,6 +303,6 @@ def deduplicated(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """Rows of ``docs`` whose document is the first of its group, with their columns; rows that repeat a doc_id stay
     once, rows without one all stay."""
     gone = near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = as_row(docs, "doc_id").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return left.withColumn("_row", nameless).dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return rows_of(left.withColumn("_number", nameless).dropDuplicates(["doc_id", "_number"]))

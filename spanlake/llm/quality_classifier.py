@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import written
-from .common import map_texts
+from .common import as_row, map_texts, rows_of
 
 
 @dataclass(frozen=True)
@@ -200,4 +200,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, p: PULearning = PULearnin
     Of rows that repeat an id all stay if one of them is good.
     """
     good = quality_scores(docs, labels, p).where("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_good")), "left_semi")
+    return rows_of(as_row(docs, "doc_id").join(good, F.col("doc_id").eqNullSafe(F.col("_good")), "left_semi"))
