@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import written
-from .common import salted_join
+from .common import salted_join, spread_join
 from .components import components
 
 
@@ -35,8 +35,11 @@ class PivotIndex:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, vector`` with double components where none is null or not finite and not all are zero."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """``vec_id, vector`` where no component is null or not finite and not all are zero.
+
+    Single-precision components stay so, which halves what is sent; all sums are made in double precision.
+    """
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("vector")).where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
@@ -77,7 +80,7 @@ def described(classes: DataFrame, reference: np.ndarray, p: PivotIndex) -> DataF
                 order = np.take_along_axis(first, np.lexsort((first, np.take_along_axis(close, first, 1)), axis=1), 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], [*part.schema.names, "pivots"])
 
-    return classes.select("id", "weight", "vector").mapInArrow(describe, "id bigint, weight bigint, vector array<double>, pivots array<int>")
+    return classes.select("id", "weight", "vector").mapInArrow(describe, f"id bigint, weight bigint, vector {dict(classes.dtypes)['vector']}, pivots array<int>")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -98,7 +101,7 @@ def links(index: DataFrame, p: PivotIndex) -> DataFrame:
     """``id, n, other``: parts of link counts (weights of linked vectors) and a spanning forest, per compared block."""
     listed = index.withColumn("pivot", F.explode("pivots"))
     sizes = listed.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1")
-    placed = salted_join(listed, sizes, "pivot", "id").withColumn("blocks", F.ceil(F.col("n") / F.lit(p.block)))
+    placed = spread_join(listed, sizes, "pivot", "id").withColumn("blocks", F.ceil(F.col("n") / F.lit(p.block)))
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "weight", "vector", F.array_sort("pivots").alias("pivots"))

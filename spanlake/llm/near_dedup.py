@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import released, written
-from .common import as_row, map_groups, map_texts, rows_of, salted_join, words
+from .common import as_row, map_groups, map_texts, rows_of, salted_join, spread_join, words
 from .components import components
 
 
@@ -223,7 +223,7 @@ def _open_links(members: DataFrame, pool: DataFrame, p: NearDedup) -> DataFrame:
     counted = members.withColumn("c", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step)))
     sides = counted.withColumn("g", F.explode(F.array(F.col("c"), F.col("c") - 1)))
     sizes = sides.groupBy("key", "g").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    placed = salted_join(sides.withColumn("kg", F.struct("key", "g")), sizes.select(F.struct("key", "g").alias("kg"), "n"), "kg", "id")
+    placed = spread_join(sides.withColumn("kg", F.struct("key", "g")), sizes.select(F.struct("key", "g").alias("kg"), "n"), "kg", "id")
     placed = placed.withColumn("blocks", F.ceil(F.col("n") / F.lit(p.block))).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).select("key", "g", "i", "j", "mine", "id", "comp", "c", "n_shingles", "bands", "signature")
@@ -252,7 +252,7 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
     merged = components(ends.select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ca", "cb").select(F.col("id").alias("comp"), "component_id")
     ids = comp.union(merged.select(F.col("comp").alias("id"), "comp").join(comp, "id", "left_anti"))
-    return written(salted_join(ids, merged, "comp", "id", how="left").select("id", F.coalesce("component_id", "comp").alias("component_id")))
+    return written(spread_join(ids, merged, "comp", "id", how="left").select("id", F.coalesce("component_id", "comp").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
                                                     F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     buckets = classes.select("id", F.explode("bands").alias("key"))
     heads = buckets.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    others = written(salted_join(buckets, heads, "key", "id").where("id > b"))  # members without the first of their bucket
+    others = written(spread_join(buckets, heads, "key", "id").where("id > b"))  # members without the first of their bucket
     stars = others.select(F.col("id").alias("a"), "b").distinct()
     scored = written(_both(stars, classes, "signature").select("a", "b", _posterior(p)("a_value", "b_value").alias("matches")).where("matches >= 0"))
     asked = others.select("id").union(others.select("b")).distinct()
@@ -280,21 +280,16 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     comp = joined.withColumnRenamed("component_id", "comp")
     apart = scored.join(first, ["a", "b"], "left_anti").join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left")
     apart = apart.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    more = written(_verified(apart, pool, p))
-    if not more.isEmpty():
-        joined = _merged(joined, more)
-
-    comp = joined.withColumnRenamed("component_id", "comp")
     labelled = others.where("n > 2").select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = salted_join(labelled, mixed, "key", "id").join(classes.select("id", "n_shingles", "bands", "signature"), "id")
-    rest = written(_open_links(members, pool, p))
+    members = spread_join(labelled, mixed, "key", "id").join(classes.select("id", "n_shingles", "bands", "signature"), "id")
+    rest = written(_verified(apart, pool, p).union(_open_links(members, pool, p)))
     if not rest.isEmpty():
         joined = _merged(joined, rest)
-    released(first, more, rest, others, scored, pool)
+    released(first, rest, others, scored, pool)
 
     named = classes.select("class", "id").join(joined, "id", "left").select("class", F.coalesce("component_id", "id").alias("component_id"))
-    by_row = salted_join(linkable.select("doc_id", "n_shingles", "class"), named, "class", "doc_id").select("doc_id", "n_shingles", "component_id")
+    by_row = spread_join(linkable.select("doc_id", "n_shingles", "class"), named, "class", "doc_id").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("class is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return by_row.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
