@@ -29,9 +29,12 @@ class Filters:
 
     @property
     def rows(self) -> int:
-        if not self.limit or self.limit <= 0:
+        if self.limit is None:
             return DEFAULT_LIMIT
-        return min(self.limit, MAX_LIMIT)
+        return self.limit
+
+    def __post_init__(self) -> None:
+        self.checked()
 
     def checked(self) -> "Filters":
         if self.limit is not None and not 1 <= self.limit <= MAX_LIMIT:

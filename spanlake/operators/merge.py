@@ -4,7 +4,8 @@ State rows hold ``struct(ord, v)`` columns (see ``reduce``), so the states of tw
 the aggregates that built them, in any order.  A batch therefore only appends its own states; readers
 merge what is there, and every few appends are merged into one, so a row is rewritten a logarithmic
 number of times.  One manifest file, made visible by a rename, switches the ledger and all tables to the
-new version at once.  A batch the manifest names is done, so repeating it changes nothing.
+new version at once.  What makes an event new is its id alone, over the whole ledger, so a repeated batch changes
+nothing and a batch is never skipped for its number; the manifest keeps the highest number per stream as progress.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ from .retention import PROJECTION_TIMES, Retention, expired
 from .validate import dedup_events
 
 FANOUT = 8      # appends of one level that are merged into the next
-KNOWN_BATCHES = 1000
 
 BY_TABLE = {e.table: e for e in R.ENTITIES}
 KEYS = {"instances": ["instance_id"], "sessions": ["instance_id", "session_id"], **{e.table: ["instance_id", e.key] for e in R.ENTITIES},
         "retry_events": ["event_id"], "resource_samples": ["event_id"]}
 APPEND_ONLY = ("retry_events", "resource_samples")
-EMPTY = {"version": -1, "batches": [], "tables": {}, "ledger": [], "ledger_from": None}
+EMPTY = {"version": -1, "streams": {}, "tables": {}, "ledger": [], "ledger_from": None}
 
 
 def merged(name: str, states: DataFrame) -> DataFrame:
@@ -115,34 +115,34 @@ class StateStore:
     # --- writing ----------------------------------------------------------------------
 
     def fresh(self, batch: DataFrame, m: dict) -> DataFrame:
-        """Events not in the ledger yet.  A repeat carries the same event time, so only the batch's days are read."""
+        """Events whose id is not in the ledger yet, on whatever day; of the ledger only the ids are read."""
         batch = batch.withColumn("event_date", F.to_date("occurred_at"))
-        ledger = self.ledger(m)
-        if ledger is None:
-            return batch
-        days = [r[0] for r in batch.select("event_date").distinct().collect()]  # one row per day the batch spans
-        seen = ledger.where(F.col("event_date").isin(*days)) if days else ledger.limit(0)
-        return batch.join(seen.select("event_date", "event_id"), ["event_date", "event_id"], "left_anti")
+        ledger = self.ledger({**m, "ledger_from": None})
+        return batch if ledger is None else batch.join(ledger.select("event_id"), "event_id", "left_anti")
+
+    def progress(self, stream: str = "batches") -> int:
+        """The highest batch number of a stream that is in the store; -1 before the first."""
+        return self.manifest()["streams"].get(stream, -1)
 
-    def merge(self, batch: DataFrame, batch_id: int) -> bool:
-        """Adds one batch of valid events to the ledger and all projections, all or nothing; False when it was there already.
+    def merge(self, batch: DataFrame, batch_id: int, stream: str = "batches") -> bool:
+        """Adds one batch of valid events to the ledger and all projections, all or nothing; False if it held no new event.
 
         Batches must come in order of arrival; inside a batch, and in event time, any order gives the same result.
         """
         m = self.manifest()
-        if m["batches"] and (batch_id in m["batches"] or batch_id < min(m["batches"])):
-            return False
         version = m["version"] + 1
         path = f"{self.root}/ledger/v={version}"
         spread = F.pmod(F.xxhash64("event_id"), F.lit(16))
         self.fresh(dedup_events(batch), m).repartition("event_date", spread).write.mode("overwrite").partitionBy("event_date").parquet(path)
-        done = {**m, "version": version, "batches": (m["batches"] + [batch_id])[-KNOWN_BATCHES:]}
-        if any(n.startswith("event_date=") for n in self._names(path)):
+        done = {**m, "version": version, "streams": {**m["streams"], stream: max(batch_id, m["streams"].get(stream, -1))}}
+        added = any(n.startswith("event_date=") for n in self._names(path))
+        if added:
             ledger = self.spark.read.option("basePath", path).parquet(path)  # all folds read what was written
             tables = {name: self._append(m, name, delta, version) for name, delta in self._deltas(ledger, m).items()}
             done |= {"tables": {**m["tables"], **tables}, "ledger": m["ledger"] + [version]}
-        self._commit(done)
-        return True
+        if added or done["streams"] != m["streams"]:
+            self._commit(done)
+        return added
 
     def _deltas(self, ledger: DataFrame, m: dict) -> dict[str, DataFrame]:
         out = {e.table: R.fold(ledger, e) for e in R.ENTITIES}

@@ -108,9 +108,17 @@ def tool_rollup(events: DataFrame, t: Tables, p: Filters, dims: list[str], by_ag
         F.expr("try_divide(duration, timed)").alias("averageDurationMs"), "maxDurationMs", *TAILS, "timeouts", "retries")
 
 
-def tool_stats(t: Tables, p: Filters = Filters(), top: int = 200) -> DataFrame:
+PAGE = 200  # rows a reader is shown; operators that read a statistic take all of it
+
+
+def page(df: DataFrame, order: list, top: int | None) -> DataFrame:
+    """All rows in order, or the first ``top`` of them."""
+    return df.orderBy(*order) if top is None else df.orderBy(*order).limit(top)
+
+
+def tool_stats(t: Tables, p: Filters = Filters(), top: int | None = None) -> DataFrame:
     events = narrowed(tool_events(t), p)
-    return tool_rollup(events, t, p, ["source", "tool"], False).orderBy(F.desc("calls"), "source", "tool").limit(top)
+    return page(tool_rollup(events, t, p, ["source", "tool"], False), [F.desc("calls"), "source", "tool"], top)
 
 
 MODEL_MEASURES = [
@@ -123,11 +131,11 @@ MODEL_MEASURES = [
 ]
 
 
-def model_stats(t: Tables, p: Filters = Filters(), top: int = 200) -> DataFrame:
+def model_stats(t: Tables, p: Filters = Filters(), top: int | None = None) -> DataFrame:
     calls = narrowed(llm_named(t.llm_calls), p)
     sums = rolled_up(calls, t, p, ["provider", "model"], MODEL_MEASURES)
-    return (sums.withColumn("_tokens", F.expr(" + ".join(TOKEN_NAMES)))
-            .orderBy(F.desc("_tokens"), F.desc("requests"), "provider", "model").limit(top)
+    ranked = page(sums.withColumn("_tokens", F.expr(" + ".join(TOKEN_NAMES))), [F.desc("_tokens"), F.desc("requests"), "provider", "model"], top)
+    return (ranked
             .select("provider", "model", "requests", "errors", "active", percent("errors", "requests").alias("errorRate"),
                     percent("done", "requests").alias("successRate"), *TOKEN_NAMES, dollars(),
                     F.expr("try_divide(duration, timed)").alias("averageDurationMs"), "maxDurationMs",
@@ -142,7 +150,7 @@ def _failures(t: Tables) -> list[tuple[str, DataFrame, str, str]]:
             ("mcp", t.mcp_calls, "call_id", "tool_name")]
 
 
-def error_stats(t: Tables, p: Filters = Filters(), top: int = 200) -> DataFrame:
+def error_stats(t: Tables, p: Filters = Filters(), top: int | None = None) -> DataFrame:
     """Failures by kind and category; nothing when a status other than failed is asked for."""
     wanted = p.but(status=None)
     measures = [Measure("errors", "cast(1 as bigint)"), Measure("duration", "duration_ms"),
@@ -163,8 +171,8 @@ def error_stats(t: Tables, p: Filters = Filters(), top: int = 200) -> DataFrame:
         out = out.unionByName(part.select("kind", *names))
     if p.status not in (None, "", "failed"):
         out = out.where(F.lit(False))
-    return (out.select("kind", "category", "errors", F.expr("try_divide(duration, timed)").alias("averageDurationMs"), "lastOccurredAt")
-            .orderBy(F.desc("errors"), F.desc("lastOccurredAt"), "kind", "category").limit(top))
+    shown = out.select("kind", "category", "errors", F.expr("try_divide(duration, timed)").alias("averageDurationMs"), "lastOccurredAt")
+    return page(shown, [F.desc("errors"), F.desc("lastOccurredAt"), "kind", "category"], top)
 
 
 def recent_anomalies(t: Tables, p: Filters = Filters()) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..sources.adapter import FixtureTables, duckdb_ctes
+from .shared import EVERY_CALL
 
 QUERIES: dict[str, Callable[[FixtureTables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,8 @@ def query(name: str, build: Callable[[FixtureTables], DataFrame], tables: tuple[
           ctes: tuple[str, ...] = ()) -> None:
     QUERIES[name] = build
     if oracle is not None:
-        parts = ([duckdb_ctes(*tables)] if tables else []) + list(ctes)
+        every = [EVERY_CALL] if any("every_call" in text for text in (*ctes, oracle)) else []
+        parts = ([duckdb_ctes(*tables)] if tables else []) + every + list(ctes)
         head = "WITH RECURSIVE " if "recursive" in oracle[:60].lower() or any("/*recursive*/" in c for c in ctes) else "WITH "
         ORACLES[name] = (head + ",\n".join(parts) + "\n" if parts else "") + oracle.strip()
 

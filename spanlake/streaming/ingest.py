@@ -25,7 +25,9 @@ def start_ingest(batches: DataFrame, root: str, checkpoint: str, now: str | None
     """Merges every micro-batch into the store; a repeated micro-batch is skipped, repeats older than the
     horizon meet the ledger there."""
     def merge(batch: DataFrame, batch_id: int) -> None:
-        StateStore(batch.sparkSession, root).merge(batch, batch_id)
+        # The id of the query lives in its checkpoint: with a new checkpoint the numbers start again under another id.
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        StateStore(batch.sparkSession, root).merge(batch, batch_id, stream)
 
     return (unique_events(batches, now).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
