@@ -28,6 +28,7 @@ from .common import as_row, map_texts, rows_of
 class PULearning:
     steps: int = 25
     ridge: float = 1e-4
+    shrink: float = 5.0       # the ridge is at least this over the number of positives, as few rows fit anything
     close: float = 1e-4       # largest change of a weight at which steps end
     back: float = 0.5         # size of a step back
     threshold: float = 0.3
@@ -138,7 +139,7 @@ def fit(rows: DataFrame, prior: float, p: PULearning) -> tuple[np.ndarray, np.nd
     pos_mean = _sums(rows, lambda x, pos: np.clip((x[pos] - mean) / scale, -30, 30).sum(0)) / n_pos
     w = np.zeros(d)
     w[-1] = np.log(prior / (1 - prior))
-    penalty = np.full(d, p.ridge)
+    penalty = np.full(d, max(p.ridge, p.shrink / n_pos))
     penalty[-1] = 1e-9
     for _ in range(p.steps):
         def part(x: np.ndarray, pos: np.ndarray, w: np.ndarray = w) -> np.ndarray:
