@@ -70,7 +70,7 @@ SELECT coalesce(sum(c) FILTER (WHERE period='2001-10-21'),0)::DOUBLE AS "lastDay
 
 # --- traces --------------------------------------------------------------------------------
 
-EDGES = """dspans AS (SELECT *, CASE WHEN duration_ms>=0 THEN duration_ms ELSE greatest(0, coalesce((epoch_us(ended_at)-epoch_us(started_at))/1000.0::DOUBLE,0)) END AS dur FROM spans WHERE session_id IS NOT NULL),
+EDGES = """dspans AS MATERIALIZED (SELECT *, CASE WHEN duration_ms>=0 THEN duration_ms ELSE greatest(0, coalesce((epoch_us(ended_at)-epoch_us(started_at))/1000.0::DOUBLE,0)) END AS dur FROM spans WHERE session_id IS NOT NULL),
 druns AS (SELECT instance_id, session_id, 'run' AS kind, run_id AS id, coalesce(nullif(span_id,''),run_id) AS span_id, run_id, started_at,
    CASE WHEN duration_ms>=0 THEN duration_ms ELSE greatest(0, coalesce((epoch_us(ended_at)-epoch_us(started_at))/1000.0::DOUBLE,0)) END AS dur FROM agent_runs),
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id, session_id, span_id ORDER BY isrun DESC, started_at DESC NULLS LAST, id DESC, kind DESC) AS rk FROM (
