@@ -4,6 +4,10 @@ A text is cut after line i where the rolling hash over its last lines is a stric
 nothing but the lines around it, so inserting or deleting lines elsewhere does not move it, and no two cuts are adjacent.
 Only built-in functions are used: texts are split, hashed and put together again by array expressions, grouping by the
 chunk's bytes finds what is repeated, and the first document that has a chunk keeps it.
+
+The lines at the edge of a repeated passage share a chunk with lines of their own, which no boundary rule can avoid.  A
+line of more than ``LONG`` words is a passage by itself, so it is compared as a unit too, whatever chunk it lies in.  Long
+lines are most of the text, so their SHA-256 stands for them in the shuffle; it holds no line break, as every chunk does.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from ..functions.lineage import written
 from .common import WORD, as_row, columns_of, evaluated, salted_join
 
 BASE, MODULUS, HIGHEST = 1_000_003, (1 << 40) - 87, (1 << 63) - 1
+LONG = 50  # words beyond which a line is compared by itself
 
 
 def _rolled(window: int) -> Column:
@@ -53,14 +58,32 @@ def _several_lines(chunk: Column) -> Column:
     return F.contains(chunk, F.lit("\n")) & F.rlike(chunk, F.lit(WORD))
 
 
+def _lines(chunks: Column) -> Column:
+    return F.flatten(F.transform(chunks, lambda c: F.split(c, "\n", -1)))
+
+
+def _long(line: Column) -> Column:
+    """More than ``LONG`` words; so many have twice as many bytes at least, which is tested first."""
+    return F.when(F.octet_length(line) > 2 * LONG, F.regexp_count(line, F.lit(WORD)) > LONG).otherwise(F.lit(False))
+
+
+def _name(line: Column) -> Column:
+    return F.when(_long(line), F.base64(F.unhex(F.sha2(line, 256))))
+
+
+def units(docs: DataFrame, window: int = 2) -> DataFrame:
+    """``doc_id, chunk`` of what is compared: chunks of several lines, not all blank, and names of long lines."""
+    compared = F.concat(F.filter("chunks", _several_lines), F.array_compact(F.transform(_lines(F.col("chunks")), _name)))
+    return chunks(docs.select("doc_id", "text"), ["doc_id"], window).select("doc_id", F.explode(compared).alias("chunk"))
+
+
 def repeated_chunks(docs: DataFrame, window: int = 2) -> DataFrame:
-    """``chunk, n, first_doc`` of every chunk of several lines, not all blank, that occurs more than once in ``docs``."""
-    rows = chunks(docs.select("doc_id", "text"), ["doc_id"], window).select("doc_id", F.explode("chunks").alias("chunk"))
-    return rows.where(_several_lines(F.col("chunk"))).groupBy("chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    """``chunk, n, first_doc`` of every unit that occurs more than once in ``docs``."""
+    return units(docs, window).groupBy("chunk").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
 def line_dedup(docs: DataFrame, window: int = 2) -> DataFrame:
-    """Every row of ``docs`` with ``text`` freed of repeated chunks, and ``n_removed``, the number of chunks removed.
+    """Every row of ``docs`` with ``text`` freed of repeated chunks and long lines, and ``n_removed``, the number of them removed.
 
     The copy in the smallest doc_id stays, and in that document the first one.  Rows of one doc_id count as one document,
     each of them keeps its first copy if the document is the first; a row without a doc_id keeps its whole text.  Null texts stay null, empty ones empty; what is left over keeps its bytes.  Extra columns stay;
@@ -68,8 +91,7 @@ def line_dedup(docs: DataFrame, window: int = 2) -> DataFrame:
     """
     names = [c for c in docs.columns if c != "n_removed"]
     found = repeated_chunks(docs, window)
-    narrow = chunks(docs.select("doc_id", "text"), ["doc_id"], window).select("doc_id", F.explode("chunks").alias("chunk"))
-    narrow = written(narrow.where(_several_lines(F.col("chunk")) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("chunk").alias("h")).distinct())
+    narrow = written(units(docs.where(F.col("doc_id").isNotNull()), window).select("doc_id", F.xxhash64("chunk").alias("h")).distinct())
     by_hash = found.groupBy(F.xxhash64("chunk").alias("h")).agg(F.collect_list(F.struct("chunk", "first_doc")).alias("same"))
     hits = salted_join(narrow, by_hash, "h", "doc_id")
     marks = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.flatten(F.collect_list("same")).alias("_same"))
@@ -79,11 +101,16 @@ def line_dedup(docs: DataFrame, window: int = 2) -> DataFrame:
     cut = evaluated(chunks(marked, ["_row", "_same"], window), F.col("_row"), F.col("chunks"), F.transform("_same", lambda s: s["chunk"]).alias("_bytes"),
                     F.transform("_same", lambda s: s["first_doc"]).alias("_first"))
 
-    def kept(c: Column, j: Column) -> Column:
-        at = F.array_position("_bytes", c)  # compares the bytes
-        first = F.get("_first", (at - F.lit(1)).cast("int"))
-        return (at == 0) | ((first == F.col("_row.doc_id")) & (F.array_position("chunks", c) == j + 1))
-
-    left = evaluated(cut, F.col("_row"), F.size("chunks").alias("_n"), F.when(F.col("_bytes").isNotNull(), F.filter("chunks", kept)).alias("_left"))
-    text = F.when(F.col("_left").isNull(), F.col("_row.text")).otherwise(F.array_join("_left", "\n")).alias("text")
-    return left.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in names], F.coalesce(F.col("_n") - F.size("_left"), F.lit(0)).alias("n_removed"))
+    def kept(among: str, named=lambda c: c):
+        def unit(c: Column, j: Column) -> Column:
+            at = F.coalesce(F.array_position("_bytes", named(c)), F.lit(0))  # compares the bytes
+            first = F.get("_first", (at - F.lit(1)).cast("int"))
+            return (at == 0) | ((first == F.col("_row.doc_id")) & (F.array_position(among, c) == j + 1))
+        return unit
+
+    # A unit's first copy in its first document outlives the removal of chunks, as a chunk around it would have come first there too.
+    left = evaluated(cut, F.col("_row"), F.col("_bytes"), F.col("_first"), F.size("chunks").alias("_n"), F.when(F.col("_bytes").isNotNull(), F.filter("chunks", kept("chunks"))).alias("_left"))
+    lines = evaluated(left, F.col("_row"), F.col("_bytes"), F.col("_first"), (F.col("_n") - F.size("_left")).alias("_n"), _lines(F.col("_left")).alias("_lines"))
+    rest = evaluated(lines, F.col("_row"), (F.col("_n") + F.size("_lines")).alias("_n"), F.filter("_lines", kept("_lines", _name)).alias("_rest"))
+    text = F.when(F.col("_rest").isNull(), F.col("_row.text")).otherwise(F.array_join("_rest", "\n")).alias("text")
+    return rest.select(*[text if c == "text" else F.col("_row")[c].alias(c) for c in names], F.coalesce(F.col("_n") - F.size("_rest"), F.lit(0)).alias("n_removed"))

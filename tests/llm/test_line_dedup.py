@@ -34,25 +34,37 @@ def plain_chunks(text, window=2):
 
 
 def plain_dedup(docs):
+    """Chunks of several lines first, then lines of more than 50 words in what is left."""
     seen = {}
     for d, text in docs:
-        for c in plain_chunks(text) if text is not None else []:
-            if "\n" in c and c.strip(" \t\n\r\x0b\x0c"):
+        parts = plain_chunks(text) if text is not None else []
+        for c in [*parts, *(x for p in parts for x in p.split("\n"))]:
+            if ("\n" in c and c.strip(" \t\n\r\x0b\x0c") and c in parts) or ("\n" not in c and len(c.split()) > 50):
                 seen.setdefault(c, []).append(d)
+        for c in parts:  # a chunk that is one long line was met twice
+            if "\n" not in c and c in seen:
+                seen[c].pop()
     out = []
     for d, text in docs:
         if text is None:
             out.append((d, None, 0))
             continue
-        left, had, cut = [], set(), 0
-        for c in plain_chunks(text):
-            ids = [x for x in seen.get(c, []) if x is not None]
-            again = len(seen.get(c, [])) > 1 and d is not None and (d != min(ids) or c in had)
-            had.add(c)
-            cut += again
-            if not again:
-                left.append(c)
-        out.append((d, "\n".join(left) if cut else text, cut))
+        cut = 0
+
+        def thinned(parts):
+            nonlocal cut
+            left, had = [], set()
+            for c in parts:
+                ids = [x for x in seen.get(c, []) if x is not None]
+                again = len(seen.get(c, [])) > 1 and d is not None and (d != min(ids) or c in had)
+                had.add(c)
+                cut += again
+                if not again:
+                    left.append(c)
+            return left
+
+        lines = thinned([x for c in thinned(plain_chunks(text)) for x in c.split("\n")])
+        out.append((d, "\n".join(lines) if cut else text, cut))
     return out
 
 
@@ -65,6 +77,8 @@ def corpus():
         own = [line() for _ in range(rng.randint(0, 12))]
         at = rng.randint(0, len(own))
         docs.append((d, "\n".join(own[:at] + (shared if d % 3 == 0 else []) + own[at:])))
+    long = [" ".join(f"{k}-{i}" for i in range(n)) for k, n in (("p", 51), ("q", 50), ("r", 300))]
+    docs += [(d, "\n".join([line(), long[d % 3], line()])) for d in range(60, 69)] + [(70, long[0]), (71, long[0] + "\n" + long[0]), (72, long[1])]
     docs += [(40, "\n".join(shared)), (41, docs[1][1]), (42, docs[1][1] + "\n" + docs[1][1]), (43, None), (44, ""), (45, "\n\n\n"), (46, "\n\n\n"), (47, "a\n" * 500), (None, docs[4][1]), (4, docs[4][1])]
     return docs
 
@@ -86,7 +100,7 @@ def test_same_rows_as_a_plain_version(spark, documents):
 
 
 def test_boundaries_do_not_shift_with_inserted_lines():
-    lines = corpus()[40 - 10][1].split("\n")
+    lines = next(t for d, t in corpus() if d == 40).split("\n")
     before, after = plain_chunks("\n".join(lines)), plain_chunks("\n".join(["something new", *lines]))
     assert set(before[2:]) <= set(after)
 
