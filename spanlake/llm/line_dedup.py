@@ -92,9 +92,8 @@ def line_dedup(docs: DataFrame, window: int = 2) -> DataFrame:
     names = [c for c in docs.columns if c != "n_removed"]
     found = repeated_chunks(docs, window)
     narrow = written(units(docs.where(F.col("doc_id").isNotNull()), window).select("doc_id", F.xxhash64("chunk").alias("h")).distinct())
-    by_hash = found.groupBy(F.xxhash64("chunk").alias("h")).agg(F.collect_list(F.struct("chunk", "first_doc")).alias("same"))
-    hits = salted_join(narrow, by_hash, "h", "doc_id")
-    marks = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.flatten(F.collect_list("same")).alias("_same"))
+    hits = salted_join(narrow, found.select(F.xxhash64("chunk").alias("h"), "chunk", "first_doc"), "h", "doc_id")
+    marks = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("chunk", "first_doc")).alias("_same"))
     row = as_row(columns_of(docs, names), "doc_id").join(marks, F.col("doc_id") == F.col("_doc"), "left")
     # One pass over all rows, as a second one would shuffle the texts again; only texts with marks are cut.
     marked = row.select("_row", F.when(F.col("_same").isNotNull(), F.col("_row.text")).alias("text"), "_same")
