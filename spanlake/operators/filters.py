@@ -25,7 +25,7 @@ class Filters:
     end: str | None = None
     event_type: str | None = None
     limit: int | None = None
-    cursor: tuple[str, str] | None = None
+    cursor: tuple[str, ...] | None = None
 
     @property
     def rows(self) -> int:
@@ -88,11 +88,16 @@ def narrowed(df: DataFrame, p: Filters, time: str | Column | None = "started_at"
 def newest(df: DataFrame, time: str, key: str, p: Filters, extra: int = 0) -> DataFrame:
     """Newest first by (time, key); rows after the cursor only; ``extra`` rows tell that more follow.
 
-    The instance breaks ties between equal keys of two instances, so the page is always the same.
+    The instance breaks ties between equal keys of two instances, so the page is always the same.  A cursor is the time, the
+    key and, where two instances may share both, the instance of the last row seen.
     """
     if p.cursor:
-        at, ident = instant(p.cursor[0]), p.cursor[1]
-        df = df.where((F.col(time) < at) | ((F.col(time) == at) & (F.col(key) < ident)))
+        at, ident, *instance = p.cursor
+        same_time = F.col(time) == instant(at)
+        later = (F.col(time) < instant(at)) | (same_time & (F.col(key) < ident))
+        if instance and "instanceId" in df.columns:
+            later |= same_time & (F.col(key) == ident) & (F.col("instanceId") < instance[0])
+        df = df.where(later)
     order = [F.col(time).desc(), F.col(key).desc()]
     if "instanceId" in df.columns:
         order.append(F.col("instanceId").desc())

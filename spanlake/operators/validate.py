@@ -62,26 +62,26 @@ def validate_events(df: DataFrame, now: str | None = None) -> tuple[DataFrame, D
 
 def _deep_problem(texts: pd.Series) -> pd.Series:
     """First rule of nested values a payload breaks: text over 4096, list over 128, object over 64 keys, key over 64."""
-    def look(value, top):
-        if isinstance(value, str):
-            return "string_length" if len(value) > 4096 else None
-        if isinstance(value, list):
-            if len(value) > 128:
-                return "array_length"
-            return next((p for p in (look(v, False) for v in value) if p), None)
-        if isinstance(value, dict):
-            if not top and len(value) > 64:
-                return "object_size"
-            if not top and any(len(k) > 64 for k in value):
-                return "key_length"
-            return next((p for p in (look(v, False) for v in value.values()) if p), None)
-        return None
-
     def one(text):
         try:
-            return look(json.loads(text), True)
-        except ValueError:
+            open_values = [(json.loads(text), True)]
+        except (ValueError, RecursionError):
             return None
+        while open_values:
+            value, top = open_values.pop()
+            if isinstance(value, str) and len(value) > 4096:
+                return "string_length"
+            if isinstance(value, list):
+                if len(value) > 128:
+                    return "array_length"
+                open_values.extend((v, False) for v in reversed(value))
+            elif isinstance(value, dict):
+                if not top and len(value) > 64:
+                    return "object_size"
+                if not top and any(len(k) > 64 for k in value):
+                    return "key_length"
+                open_values.extend((v, False) for v in reversed(value.values()))
+        return None
     return texts.map(one)
 
 

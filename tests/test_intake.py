@@ -132,3 +132,9 @@ def test_write_and_read_back(spark, tmp_path, ledger):
     src.write_ledger(ledger([event(1, "agent.started", 0, {}), event(2, "agent.started", -86400, {})]), str(tmp_path / "ledger"))
     back = src.read_ledger(spark, str(tmp_path / "ledger"))
     assert sorted(str(r.event_date) for r in back.collect()) == ["2026-07-09", "2026-07-10"]
+
+
+def test_deep_payloads_are_looked_through(spark):
+    nest = lambda depth, inner: '{"a":' + "[" * depth + inner + "]" * depth + "}"
+    df = spark.createDataFrame([("fine", 0, nest(480, "1")), ("long", 0, nest(480, '"' + "x" * 4097 + '"'))], "event_id string, sequence bigint, payload string")
+    assert [tuple(r) for r in validate.contract_check(df).collect()] == [("long", "string_length")]

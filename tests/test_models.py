@@ -162,3 +162,13 @@ def test_filters_reach_the_scan(spark, tmp_path, tables):
     spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
     plan = stats.model_stats(Tables(spark, root=str(tmp_path)), Filters(instance="x", start="2026-01-01 00:00:00"))._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(instance_id,x)" in plan and "GreaterThanOrEqual(started_at" in plan and "span_id" not in plan
+
+
+def test_pages_miss_no_row_of_equal_time_and_key(spark):
+    from spanlake.operators.filters import newest
+    df = spark.createDataFrame([(T0, "k", i) for i in "abc"] + [(T0, "j", "a")], "at timestamp, key string, instanceId string")
+    seen, cursor = [], None
+    while page := newest(df, "at", "key", Filters(limit=1, cursor=cursor)).collect():
+        seen += [(page[0].key, page[0].instanceId)]
+        cursor = (T0.strftime("%Y-%m-%d %H:%M:%S"), *seen[-1])
+    assert seen == [("k", "c"), ("k", "b"), ("k", "a"), ("j", "a")]
