@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.lineage import application_folder, written
 from .common import table
 from .embedding_dedup import near_vectors
-from .line_dedup import line_dedup
+from .line_dedup import passage_dedup
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .packing import packed
@@ -24,7 +24,7 @@ TOKENIZER_VERSIONS = ["byte_bpe_50k", "words"]
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without repeated passages of several lines."""
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return passage_dedup(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

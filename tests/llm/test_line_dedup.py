@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from spanlake.llm.line_dedup import BASE, MODULUS, chunks, line_dedup
+from spanlake.llm.line_dedup import BASE, MODULUS, chunks, line_dedup, passage_dedup
 
 
 def java_hash(value):
@@ -114,3 +114,62 @@ def test_extra_columns_stay_and_clashing_ones_are_replaced(spark, documents):
 
 def test_empty_table(spark, documents):
     assert line_dedup(documents([])).count() == 0
+
+
+def plain_runs(lines):
+    """First and last line and text of the shortest run of more than 50 words from each line that has words."""
+    worded = [k for k, x in enumerate(lines) if x.strip(" \t\n\r\x0b\x0c")]
+    for i, s in enumerate(worded):
+        n = 0
+        for j in range(i, len(worded)):
+            n += len(lines[worded[j]].split())
+            if n > 50:
+                yield s, worded[j], "\n".join(lines[k] for k in worded[i:j + 1])
+                break
+
+
+def plain_passages(docs):
+    """Documents without the chunks that ``plain_dedup`` compares and without all lines of a run that came before."""
+    seen = {}
+    for d, text in docs:
+        for c in ([c for c in plain_chunks(text) if "\n" in c and c.strip(" \t\n\r\x0b\x0c")] + [("run", r) for *_, r in plain_runs(text.split("\n"))] if text is not None else []):
+            seen.setdefault(c, []).append(d)
+    first = {c: min(x for x in ds if x is not None) for c, ds in seen.items() if len(ds) > 1 and any(x is not None for x in ds)}
+    out = []
+    for d, text in docs:
+        if text is None or d is None:
+            out.append((d, text, 0))
+            continue
+        parts, lines, stay = plain_chunks(text), text.split("\n"), []
+        for j, c in enumerate(parts):
+            keep = c not in first or (first[c] == d and parts.index(c) == j)
+            stay += [keep] * (c.count("\n") + 1)
+        ends = {}
+        for s, e, r in plain_runs(lines):
+            if ("run", r) in first and (first["run", r] != d or ends.setdefault(r, e) < s):
+                stay[s:e + 1] = [False] * (e + 1 - s)
+        out.append((d, "\n".join(x for x, keep in zip(lines, stay) if keep), len(stay) - sum(stay)))
+    return out
+
+
+def test_passages_of_few_lines_leave_nothing_behind(spark, documents):
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    docs, own = [], {}
+    for k in range(60):
+        shared = [line(30) for _ in range(3)] if k % 2 else [line(20), "", line(20), line(12)]
+        for d in (2 * k, 2 * k + 1):
+            own[d] = [line(12) for _ in range(6)]
+            docs.append((d, "\n".join(own[d][:3] + shared + own[d][3:])))
+    rows = {r.doc_id: r for r in passage_dedup(documents(docs)).collect()}
+    for d, text in docs:
+        assert rows[d].text == (text if d % 2 == 0 else "\n".join(own[d]))
+        assert (rows[d].n_removed > 0) == (d % 2 == 1)
+
+
+def test_passages_as_a_plain_version(spark, documents):
+    docs = corpus() + [(80, "b c\n" * 120), (81, "\n".join(f"{i} x y" for i in range(20)) + "\n\nown\n" + "\n".join(f"{i} x y" for i in range(20)))]
+    got = passage_dedup(documents(docs)).select("doc_id", "text", "n_removed").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(plain_passages(docs), key=key)
+    assert passage_dedup(documents([])).count() == 0
