@@ -1,24 +1,41 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slots 0, 1, 2, ... are mapped to golden-ratio points in [0, 1), and the points through the cumulative target shares to
-sources, so any run of slots holds every source in nearly its share.  The n-th slot of a source takes the n-th block of
-equal size of the source's documents, which stand in an order shuffled by hash; after the last block the next pass over
-the source begins.  Ranks of slots and places of documents are running counts over hash or slot ranges, so no source is
-ordered in one task however many rows it has.
+Every source is cut into blocks of its own size, equal up to a word and no larger than a common limit, and has as many slots
+as its target needs blocks; the last of them takes only the words that are left.  So every source ends at its target in
+whole words, however small it is beside the others.  Slots 0, 1, 2, ... step through all places by nearly the golden ratio of their number, each
+place once, and the places through the cumulative numbers of slots to sources, so any run of slots holds every source in
+nearly its share.  The n-th slot of a source takes the n-th block of the source's documents, which stand in an order
+shuffled by hash; after the last block the next pass over the source begins.  Ranks of slots and places of documents are
+running counts over hash or slot ranges, so no source is ordered in one task however many rows it has.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.lineage import written
 from .common import WORD, as_row, rows_of, word_count
 
-PERIOD = 1 << 31
-#: The golden ratio in units of 1 / PERIOD, odd, so that a period visits every point once and products stay exact.
-STEP = 1_327_217_885
+GOLDEN = (5 ** 0.5 - 1) / 2
+
+
+def step(n: int) -> int:
+    """A step near ``n`` golden ratios that visits all of ``n`` places, of those around it one that spreads them most evenly.
+
+    The quotients of the continued fraction of step / n bound how far the count of any interval departs from its share.
+    """
+    def unevenness(g: int) -> int:
+        a, b, total = n, g, 0
+        while b:
+            total, a, b = total + a // b, b, a % b
+        return total
+
+    middle = round(n * GOLDEN)
+    near = [g for g in range(max(1, middle - 500), middle + 501) if gcd(g, n) == 1]
+    return min(near, key=lambda g: (unevenness(g), abs(g - middle), g))
 
 
 @dataclass(frozen=True)
@@ -28,7 +45,7 @@ class Mix:
     most: int = 2                      # passes over a source at most
     slots: int = 1 << 21               # about so many slots, until blocks have reached their largest size
     smallest: int = 16                 # words in a block
-    largest: int = 4096
+    largest: int = 4096                # words in a block at most; a source has blocks of its own size below this
     range_bits: int = 12               # 2 ** range_bits hash ranges in which a source's documents are ordered
     run: int = 1 << 14                 # slots in which a source's slots are ranked at once
     cells: int = 1 << 16               # cells of [0, 1) in which a point looks for its source, at most
@@ -75,38 +92,66 @@ def sized(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, int]
     return rows, goals, int(min(max(total / mix.slots, mix.smallest), mix.largest))
 
 
+def _cut(goals: DataFrame, block: int) -> DataFrame:
+    """``goals`` with the source's number of ``blocks``, ``wide`` of them of ``least + 1`` words and the others of ``least``,
+    the words ``due`` and the number of ``slots``.
+
+    The first blocks are the wide ones.
+    """
+    due = F.round("target").cast("bigint")
+    cut = goals.withColumn("blocks", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("source_size") / F.lit(block)))).withColumn("due", due)
+    cut = cut.withColumn("least", F.expr("source_size div blocks")).withColumn("wide", F.col("source_size") % F.col("blocks"))
+    rest = F.col("due") % F.col("source_size")
+    return cut.withColumn("slots", F.when(F.col("due") > 0, F.expr("due div source_size") * F.col("blocks") + F.when(rest > 0, _block_of(rest - 1) + 1).otherwise(0)).otherwise(0).cast("bigint"))
+
+
+def _block_of(word: Column) -> Column:
+    wide = F.col("wide") * (F.col("least") + 1)
+    return F.when(word < wide, F.floor(word / (F.col("least") + 1))).otherwise(F.col("wide") + F.floor((word - wide) / F.col("least"))).cast("bigint")
+
+
+def _first_word(block: Column) -> Column:
+    return block * F.col("least") + F.least(block, F.col("wide"))
+
+
 def schedule(goals: DataFrame, block: int, mix: Mix = Mix()) -> DataFrame:
-    """``slot, source_key, turn, block``: which block of which source each slot takes, ``turn`` counting passes from 0.
+    """``slot, source_key, turn, block, words``: which block of which source each slot takes, ``turn`` counting passes from 0.
 
-    Slots of a source beyond ``most`` passes, which rounding can make, are left out.
+    ``words`` are taken from the start of the block; only the last slot of a source can take less than its block.
     """
-    total = goals.agg(F.sum("target")).first()[0] or 0.0
-    before = F.coalesce(F.sum("target").over(W.orderBy("source_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    shares = goals.where("target > 0").withColumn("lo", before).withColumn("hi", F.col("lo") + F.col("target"))
-    # Cells of equal width tell the few sources that a point can belong to, whatever the number of sources.
-    cells = max(1, min(mix.cells, goals.count() * 16))
-    cell = lambda x: F.least(F.floor(x / F.lit(total or 1.0) * cells), F.lit(cells - 1))
-    ends = shares.select("source_key", "source_size", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
-    fraction = (F.col("slot") % F.lit(PERIOD)) * F.lit(STEP) % F.lit(PERIOD) / F.lit(float(PERIOD))
-    points = goals.sparkSession.range(round(total / block)).withColumnRenamed("id", "slot").withColumn("point", (fraction + 0.5 / PERIOD) * F.lit(total))
-    hits = points.withColumn("cell", cell(F.col("point"))).join(ends, "cell").where("point >= lo and point < hi").select("slot", "source_key", "source_size")
+    before = F.coalesce(F.sum("slots").over(W.orderBy("source_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    shares = _cut(goals, block).where("slots > 0").withColumn("lo", before).withColumn("hi", F.col("lo") + F.col("slots"))
+    found = shares.agg(F.sum("slots"), F.count("*")).first()
+    total, sources = int(found[0] or 0), int(found[1])
+    # Cells of equal width tell the few sources that a place can belong to, whatever the number of sources.
+    cells = max(1, min(mix.cells, sources * 16, total))
+    cell = lambda x: F.floor(x * F.lit(cells) / F.lit(max(total, 1)))
+    names = ["source_key", "source_size", "blocks", "least", "wide", "due"]
+    ends = shares.select(*names, "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
+    place = F.col("slot") * F.lit(step(total) if total > 1 else 1) % F.lit(max(total, 1))
+    points = goals.sparkSession.range(total).withColumnRenamed("id", "slot").withColumn("place", place)
+    hits = points.withColumn("cell", cell(F.col("place"))).join(ends, "cell").where("place >= lo and place < hi").select("slot", *names)
     ranked = running_start(hits.withColumn("one", F.lit(1).cast("bigint")), ["source_key"], F.floor(F.col("slot") / F.lit(mix.run)), ["slot"], "one", "rank")
-    blocks = F.ceil(F.col("source_size") / F.lit(block))
-    out = ranked.select("slot", "source_key", F.floor(F.col("rank") / blocks).alias("turn"), (F.col("rank") % blocks).alias("block"))
-    return out.where(F.col("turn") < mix.most)
+    out = ranked.withColumn("turn", F.expr("rank div blocks")).withColumn("block", F.col("rank") % F.col("blocks"))
+    left = F.col("due") - F.col("turn") * F.col("source_size") - _first_word(F.col("block"))
+    length = F.col("least") + (F.col("block") < F.col("wide")).cast("bigint")
+    return out.select("slot", "source_key", "turn", "block", F.least(left, length).alias("words"))
 
 
-def blocks(rows: DataFrame, block: int, mix: Mix = Mix()) -> DataFrame:
-    """``source_key, block, doc_id, size, start, words``: the pieces of documents that each block holds.
+def blocks(rows: DataFrame, goals: DataFrame, block: int, mix: Mix = Mix()) -> DataFrame:
+    """``source_key, block, doc_id, size, start, first, words``: the pieces of documents that each block holds, ``first`` their
+    place in the block and ``start`` the document's in the source.
 
     Documents stand in the order of a hash of their id and size, equal ones in any order; empty ones are in no block.
     """
     cut = F.shiftright("place", 64 - mix.range_bits)
     placed = running_start(rows.where("size > 0"), ["source_key"], cut, ["place", "doc_id", "size"], "size", "start")
+    placed = placed.join(_cut(goals, block).select("source_key", "blocks", "least", "wide"), "source_key")
     end = F.col("start") + F.col("size")
-    each = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-    words = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    return each.select("source_key", "block", "doc_id", "size", "start", words.alias("words"))
+    each = placed.withColumn("block", F.explode(F.sequence(_block_of(F.col("start")), _block_of(end - 1))))
+    each = each.withColumn("from", _first_word(F.col("block"))).withColumn("to", _first_word(F.col("block") + 1))
+    begin = F.greatest("start", "from")
+    return each.select("source_key", "block", "doc_id", "size", "start", (begin - F.col("from")).alias("first"), (F.least(end, "to") - begin).alias("words"))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -117,9 +162,11 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     of their own.  Other columns are ignored.  An empty input gives an empty result.
     """
     rows, goals, block = sized(docs, mix)
-    uses = schedule(goals, block, mix).groupBy("source_key", "block").agg(F.count("*").alias("uses"))
-    pieces = blocks(rows, block, mix).join(uses, ["source_key", "block"], "left")
-    taken = pieces.groupBy("source_key", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
+    uses = schedule(goals, block, mix).groupBy("source_key", "block").agg(F.collect_list("words").alias("uses"))  # one per pass
+    pieces = blocks(rows, goals, block, mix).join(uses, ["source_key", "block"], "left")
+    part = lambda a, w: a + F.greatest(F.lit(0).cast("bigint"), F.least("words", w - F.col("first")))
+    times = F.aggregate(F.coalesce("uses", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), part)
+    taken = pieces.groupBy("source_key", "start", "doc_id", "size").agg(F.sum(times).alias("taken"))
     every = taken.select("source_key", "doc_id", "size", "taken").union(rows.where("size = 0").select("source_key", "doc_id", "size", F.lit(0).cast("bigint")))
     return every.join(goals, "source_key").select("doc_id", "size", "source_size", "target", "taken")
 
@@ -127,7 +174,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mixture(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them: ``taken / size`` rounded to whole documents, columns unchanged.
 
-    Rounding goes by a hash of the document, so that a source's words stay near its target.  Empty texts are not taken.
+    Rounding goes by a hash of the document, so that the words of a source of many documents stay near its target.  Empty
+    texts are not taken.
     """
     times = mixed(docs, mix).where("size > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).alias("_times"))
     threshold = F.pmod(F.xxhash64(F.lit(mix.seed + 1), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))

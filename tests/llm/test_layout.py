@@ -151,3 +151,30 @@ def test_token_counts(spark, documents):
     got = {(r.doc_id, r.tokenizer): r.tokens for r in tr.token_counts(documents(docs).selectExpr("*", "1 as counts"), ["words", "byte_bpe_50k"]).collect()}
     assert got[1, "words"] == 4 and got[2, "words"] == got[3, "byte_bpe_50k"] == 0 and got[None, "words"] == 2
     assert got[1, "byte_bpe_50k"] == len(["Hello", " world", ",", " it", "'s", " 42", "!"])
+
+
+@pytest.mark.parametrize("share", [1.5, 0.05])
+def test_small_sources_reach_their_targets_beside_large_blocks(spark, documents, share):
+    rng = random.Random(13)
+    docs = [(i, "w " * 100, "en", f"small{i % 40:02d}") for i in range(120)] + [(1000 + i, "w " * rng.randint(300, 900), "en", "hot") for i in range(400)]
+    mix = mx.Mix(share=share, smallest=3576)
+    rows = mx.mixed(documents(docs), mix).selectExpr("case when doc_id < 1000 then doc_id % 40 else -1 end as s", "*").collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.s] += r.taken
+        target[r.s] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(target) == 41 and all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    assert any(t < 600 for t in target.values()) == (share < 1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 4096, 99_991, 1 << 21])
+def test_steps_visit_every_place_evenly(n):
+    g = mx.step(n) if n > 1 else 1
+    places = [i * g % n for i in range(min(n, 200_000))]
+    assert len(set(places)) == len(places)
+    for share in (0.1, 0.37, 0.8):
+        seen = 0
+        for i, x in enumerate(places, 1):
+            seen += x < round(share * n)
+            assert abs(seen - i * round(share * n) / n) <= 5
