@@ -28,6 +28,7 @@ PATTERNS = [re.compile(x) for x in (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 STRETCH = re.compile(r"@|[0-9](?:[\x20().-]{0,2}[0-9]){3,}")
+DIGIT_OR_AT = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 OTHER = 0  # type of a token outside of personal data; kinds are 1..4
 
@@ -282,6 +283,15 @@ def train(sample: list[str], p: SpanField) -> tuple[np.ndarray, np.ndarray]:
     return w, move
 
 
+def _uncovered(text: str, lo: int, hi: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether a digit or an at sign between ``lo`` and ``hi`` lies in no span."""
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if s > lo and DIGIT_OR_AT.search(text, lo, min(s, hi)):
+            return True
+        lo = max(lo, e)
+    return lo < hi and DIGIT_OR_AT.search(text, lo, hi) is not None
+
+
 def field_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray, move: np.ndarray, p: SpanField) -> list[tuple[int, int, int]]:
     """Spans of the field that overlap no pattern span."""
     out = []
@@ -290,9 +300,8 @@ def field_spans(text: str, base: list[tuple[int, int, int]], w: np.ndarray, move
             part = tokens[at:at + p.tokens + p.longest]
             lo, hi = part[0][0], part[-1][1]
             inside = [b for b in base if b[1] < hi and b[2] > lo]
-            # A stretch that the patterns explain wholly has nothing to add.
-            free = [m for m in STRETCH.finditer(text, lo, hi) if not any(b[1] < m.end() and b[2] > m.start() for b in inside)]
-            if not free:
+            # A part whose digits and at signs all lie in pattern spans has nothing to add.
+            if not any(_uncovered(text, m.start(), m.end(), inside) for m in STRETCH.finditer(text, lo, hi)):
                 continue
             for i, j, kind in Lattice(text, part, p).best(w, move):
                 s, e = part[i][0], part[j - 1][1]

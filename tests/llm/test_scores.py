@@ -203,3 +203,13 @@ def test_field_gradient_against_differences():
     step = np.zeros_like(move)
     step[0, 4] = 1e-5
     assert abs((likelihood(w, move + step) - likelihood(w, move - step)) / 2e-5 - gm[0, 4]) < 1e-4
+
+
+def test_numbers_beside_found_addresses_are_asked():
+    rng, p = random.Random(12), pd_.SpanField()
+    card = lambda: rng.choice(["4111111111111111", "4111 1111 1111 1111", "5500 0000 0000 0004", "5500000000000004"])
+    w, move = pd_.train([f"word paid {card()} on day {rng.randint(1, 9)} from 10.0.{rng.randint(0, 9)}.{rng.randint(0, 255)} by bob{i}@ex.org or +1 415 555 {rng.randint(1000, 9999)} end" for i in range(200)], p)
+    found = lambda text: pd_.field_spans(text, pd_.base_spans(text), w, move, p)
+    assert found("login 10.0.0.1 4111111111111111 ok") == [(2, 15, 31)]
+    assert found("card 4111 1111 1111 1111 10.0.0.1 ok") == [(2, 5, 24)]
+    assert found("login 10.0.0.1 ok") == found("paid 4111 1111 1111 1111, login 10.0.0.1 ok") == []
