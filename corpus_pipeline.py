@@ -12,10 +12,13 @@ from spanlake.functions.lineage import written
 from spanlake.llm.common import table
 from spanlake.llm.line_dedup import line_dedup
 from spanlake.llm.mixing import mixture
-from spanlake.llm.near_dedup import deduplicated
+from spanlake.llm.near_dedup import NearDedup, deduplicated
 from spanlake.llm.packing import packed
 from spanlake.llm.quality_classifier import good_documents
 
+#: Near copies share five-word shingles with a similarity of 0.8 or more; 30 bands miss such a pair with probability 7e-6.
+NEAR = NearDedup(percent=80, bands=30)
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near copies."""
-    return deduplicated(docs).select(COLUMNS)
+    return deduplicated(docs, NEAR).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

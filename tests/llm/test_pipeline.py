@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -34,3 +35,17 @@ def test_every_stage_against_a_plain_version(spark, documents, tmp_path):
     assert max(times.values()) <= 2 and set(times) <= {r.doc_id for r in near}
     total = lambda rows: sum(len((r.text or "").split()) for r in rows)
     assert abs(total(mixed) - 1.5 * total(near)) < 0.1 * total(near) and total(packed) == total(mixed)
+
+
+def test_near_copies_of_similarity_between_80_and_85_percent_go(spark, documents):
+    rng = random.Random(6)
+    docs, pairs = [], []
+    for k in range(40):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(220)]
+        copy = list(base)
+        for at in (30, 80, 130, 180):
+            copy[at] = "other"
+        shingles = [{tuple(x[i:i + 5]) for i in range(216)} for x in (base, copy)]
+        assert 0.80 < len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) < 0.85
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, documents(docs), "").collect()) == list(range(0, 80, 2))
