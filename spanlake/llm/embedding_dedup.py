@@ -10,7 +10,7 @@ its links, never its pairs.  Exact copies are one vector with a weight.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -147,6 +147,7 @@ def near_vectors(vectors: DataFrame, p: PivotIndex = PivotIndex()) -> DataFrame:
     reference = pivots(classes, p)
     if not len(reference):
         return vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    p = replace(p, shared=min(p.shared, p.near, len(reference)))  # no vector names more pivots than there are
     parts = written(links(described(classes, reference, p), p))
     counts = parts.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(parts, "id", "other")

@@ -105,3 +105,14 @@ def test_vector_links_as_all_pairs(spark):
     assert got[None].n_links == 0 and got[None].kept
     empty = ed.near_vectors(df.limit(0))
     assert empty.count() == 0 and empty.columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_links_of_two_or_three_distinct_vectors(spark, n):
+    distinct = [[1.0, 0.0, 0.0], [0.95, 0.3122499, 0.0], [0.0, 0.0, 1.0]][:n]
+    rows = [(10 * i + k, v) for i, v in enumerate(distinct) for k in range(3)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = [(a, b) for a, b in combinations(unit, 2) if unit[a] @ unit[b] >= 0.9]
+    groups = plain_components(list(unit), links)
+    assert got == {i: (sum(i in l for l in links), groups[i], i == groups[i]) for i in unit}
