@@ -12,7 +12,7 @@ from .filters import Filters, narrowed
 from .stats import agent_model_stats, agent_stats, error_stats, model_stats, tool_stats
 from .timeseries import timeseries_agents, timeseries_models, timeseries_points, timeseries_tools
 
-# fixed values: how many categories and series a chart shows
+# how many categories and series a chart shows unless its specification says otherwise
 CATEGORIES, SERIES = 12, 8
 
 
@@ -24,6 +24,8 @@ class ChartSpec:
     secondary: str | None = None
     size: str | None = None
     tail: bool = False  # the last categories of a time axis instead of the first
+    categories: int | None = CATEGORIES  # shown at most; None: all of them
+    series: int | None = SERIES  # likewise
 
 
 class Row:
@@ -152,10 +154,14 @@ def checked(spec: ChartSpec) -> DataSet:
     return data
 
 
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    return rows if n is None else rows.limit(n)
+
+
 def series_of(rows: DataFrame, spec: ChartSpec) -> DataFrame:
-    """(categoryRank, category, seriesRank, series, value, secondary, size) of at most 12 by 8 cells, zero-filled.
+    """(categoryRank, category, seriesRank, series, value, secondary, size) of the specified grid of cells, zero-filled.
 
-    Rows are summed per cell first.  Categories go by time or by total, series by their total over those categories.
+    Without bounds the grid holds every category and series.  Rows are summed per cell first.  Categories go by time or by total, series by their total over those categories.
     Sums are decimals, so equal totals tie the same way however rows are split.
     """
     data = checked(spec)
@@ -173,17 +179,24 @@ def series_of(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     totals = cells.groupBy("category").agg(F.sum("value").alias("total"))
     order = [F.desc("category") if spec.tail else F.asc("category")] if on_time else [F.desc("total"), F.asc("category")]
     if on_time and spec.tail:
-        top = totals.orderBy(*order).limit(CATEGORIES)
+        top = _first(totals.orderBy(*order), spec.categories)
         order = [F.asc("category")]
     else:
-        top = totals.orderBy(*order).limit(CATEGORIES)
+        top = _first(totals.orderBy(*order), spec.categories)
     cats = top.withColumn("categoryRank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order))).select("category", "categoryRank")
     kept = cells.join(cats, "category")
-    lines = (kept.groupBy("series").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), F.asc("series")).limit(SERIES)
+    lines = (_first(kept.groupBy("series").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), F.asc("series")), spec.series)
              .withColumn("seriesRank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("total"), F.asc("series")))).select("series", "seriesRank"))
+    if spec.categories is None or spec.series is None:
+        grid = cats.crossJoin(lines)
+        return _filled(grid, kept)
     axes = (cats.select(F.struct("categoryRank", "category").alias("c"), F.lit(None).cast("struct<seriesRank:int,series:string>").alias("s"))
             .unionByName(lines.select(F.lit(None).cast("struct<categoryRank:int,category:string>").alias("c"), F.struct("seriesRank", "series").alias("s"))))
     grid = axes.agg(F.collect_list("c").alias("cs"), F.collect_list("s").alias("ss")).select(F.inline("cs"), "ss").select("categoryRank", "category", F.inline("ss"))
+    return _filled(grid, kept)
+
+
+def _filled(grid: DataFrame, kept: DataFrame) -> DataFrame:
     out = grid.join(kept.select("category", "series", "value", "secondary", "size"), ["category", "series"], "left")
     return out.select("categoryRank", "category", "seriesRank", "series", *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in ("value", "secondary", "size")])
 
@@ -192,7 +205,7 @@ def chart_series(t: Tables, spec: ChartSpec, p: Filters = Filters(), bucket: str
     return series_of(checked(spec).rows(t, p, bucket, spec.dimensions), spec)
 
 
-# The operators below work on such a grid of at most 96 cells.
+# The operators below work on such a grid, whatever its size; without bounds their sums, means and counts are of all cells.
 
 def cumulative(series: DataFrame) -> DataFrame:
     upto = W.partitionBy("series").orderBy("categoryRank").rowsBetween(W.unboundedPreceding, W.currentRow)

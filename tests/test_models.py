@@ -172,3 +172,16 @@ def test_pages_miss_no_row_of_equal_time_and_key(spark):
         seen += [(page[0].key, page[0].instanceId)]
         cursor = (T0.strftime("%Y-%m-%d %H:%M:%S"), *seen[-1])
     assert seen == [("k", "c"), ("k", "b"), ("k", "a"), ("j", "a")]
+
+
+def test_uncut_chart_series_count_every_cell(spark):
+    df = spark.createDataFrame([(f"p{k % 10}", f"m{k:02d}", k + 1) for k in range(30)], "provider string, model string, requests long")
+    shown = charts.series_of(df, ChartSpec("models", ("model", "provider"), "requests"))
+    assert (shown.count(), shown.select("category").distinct().count()) == (96, 12)
+    assert charts.series_of(df, ChartSpec("models", ("model", "provider"), "requests", categories=5, series=2)).count() == 10
+    whole = charts.series_of(df, ChartSpec("models", ("model", "provider"), "requests", categories=None, series=None))
+    assert whole.count() == 300 and whole.agg({"value": "sum"}).first()[0] == 465
+    assert charts.histogram(whole).agg({"count": "sum"}).first()[0] == 300
+    assert charts.gauge(whole).first().value == 1.55
+    assert charts.waterfall_steps(whole).agg({"stepEnd": "max"}).first()[0] == 465
+    assert max(r.value for r in charts.cumulative(whole).collect()) == 10 + 20 + 30
