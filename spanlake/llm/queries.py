@@ -7,16 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import application_folder, written
-from .common import table
+from .common import WORD, evaluated, table
 from .embedding_dedup import near_vectors
+from .exact_dedup import exact_groups
 from .line_dedup import passage_dedup
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .packing import packed
 from .personal_data import personal_data
+from .periodic_runs import periodic_runs
 from .perplexity import quality_rules
 from .quality_classifier import quality_scores
 from .revisits import FULL, NOT_MODIFIED, canonical_url, resolve
+from .spelling_variants import variant_groups
 from .token_rollup import TokenTotals, token_counts
 
 TOKENIZER_VERSIONS = ["byte_bpe_50k", "words"]
@@ -116,6 +119,57 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def with_periodic_parts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where a tenth of the documents, by checksum of the id, repeats some of its words from a place on to the end."""
+    sum_ = F.crc32(F.col("doc_id").cast("string"))
+    chosen = evaluated(docs, F.col("doc_id"), F.col("text"), F.floor(sum_ / 10).alias("g"),
+                       F.when(sum_ % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    n, g = F.size("w"), F.col("g")
+    begin = g % n
+    period = F.lit(1) + F.floor((n - begin) / (F.lit(3) + g % 8))
+    placed = evaluated(chosen.where("size(w) > 0"), F.col("doc_id"), F.col("w"), begin.cast("int").alias("a"), period.cast("int").alias("p"))
+    repeated = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))).otherwise(x))
+    return chosen.where("coalesce(size(w), 0) < 1").select("doc_id", "text").union(placed.select("doc_id", F.array_join(repeated, " ")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periodic_parts(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("_l", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("_l.start")).alias("start"), F.col("_l.length").alias("length"), (-F.col("_l.period")).alias("period"),
+        F.expr("(1000 * _l.length) div -_l.period").alias("exponent_milli"), F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+EXACT_COPIES = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+copies AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size, sha256(text) AS text_sha256 FROM texts GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM texts JOIN copies USING (text)"""
+
+LETTERS = "[A-Za-z\u00C0-\u00FF]"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LONG_WORD = 7  # code points
+
+
+def words_with_lost_letters(docs: DataFrame) -> DataFrame:
+    """``word, n`` of runs of letters of seven code points or more that occur twice at least; some occurrences, by checksum, lose a letter."""
+    asked = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"{LETTERS}{{{LONG_WORD},}}"), F.lit(0))).alias("x"))
+    small = F.when(F.lower("x") == F.col("x"), F.col("x")).otherwise(F.translate("x", UPPER, UPPER.lower()))
+    summed = evaluated(asked, small.alias("x"), F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), small)).alias("h"))
+    at = (F.col("h") % F.length("x")).cast("int")
+    lost = F.concat(F.substring("x", F.lit(1), at), F.substring("x", at + F.lit(2), F.length("x")))
+    words = summed.select(F.when(F.col("h") % 31 == 0, lost).otherwise(F.col("x")).alias("word"))
+    return words.where(F.length("word") >= LONG_WORD).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(words_with_lost_letters(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_revisits, op4_quality_classifier, op5_source_mix, op6_personal_data, op7_near_duplicates,
-                                   op8_token_rollup, op9_near_vectors, op10_length_buckets)}
-ORACLES = {"op3_revisits": REVISITS.strip()}
+                                   op8_token_rollup, op9_near_vectors, op10_length_buckets, op11_periodic_runs, op12_exact_copies, op13_spelling_variants)}
+ORACLES = {"op3_revisits": REVISITS.strip(), "op12_exact_copies": EXACT_COPIES.strip()}
