@@ -283,10 +283,8 @@ def timeline_spans(t: Tables, session: tuple[str, str] | None = None) -> DataFra
         F.lit("retried").alias("status"), F.col("occurred_at").alias("started_at"), F.col("occurred_at").alias("ended_at"), F.lit(0.0).alias("duration_ms"),
         "attempt", F.col("reason").alias("retry_reason"))
     out = _fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), [calls, subs, retries])
-    for c in TIMELINE:
-        if c not in out.columns:
-            out = out.withColumn(c, none)
-    return out.where("started_at is not null").select(*TIMELINE)
+    present = set(out.columns)
+    return out.where("started_at is not null").select(*[F.col(c) if c in present else none.alias(c) for c in TIMELINE])
 
 
 def session_timeline(t: Tables, session: tuple[str, str], limit: int = 2000) -> DataFrame:

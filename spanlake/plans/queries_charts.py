@@ -73,13 +73,13 @@ SELECT coalesce(sum(c) FILTER (WHERE period='2001-10-21'),0)::DOUBLE AS "lastDay
 EDGES = """dspans AS MATERIALIZED (SELECT *, CASE WHEN duration_ms>=0 THEN duration_ms ELSE greatest(0, coalesce((epoch_us(ended_at)-epoch_us(started_at))/1000.0::DOUBLE,0)) END AS dur FROM spans WHERE session_id IS NOT NULL),
 druns AS (SELECT instance_id, session_id, 'run' AS kind, run_id AS id, coalesce(nullif(span_id,''),run_id) AS span_id, run_id, started_at,
    CASE WHEN duration_ms>=0 THEN duration_ms ELSE greatest(0, coalesce((epoch_us(ended_at)-epoch_us(started_at))/1000.0::DOUBLE,0)) END AS dur FROM agent_runs),
-own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id, session_id, span_id ORDER BY isrun DESC, started_at DESC NULLS LAST, id DESC, kind DESC) AS rk FROM (
-   SELECT instance_id, session_id, span_id, 1 AS isrun, started_at, id, kind FROM druns UNION ALL SELECT instance_id, session_id, span_id, 0, started_at, id, kind FROM dspans)) WHERE rk=1),
-edges AS (SELECT s.instance_id, s.session_id, s.kind, s.id, s.span_id, s.dur AS duration_ms,
-   CASE WHEN o.id IS NOT NULL AND NOT (o.kind=s.kind AND o.id=s.id) THEN o.kind WHEN h.id IS NOT NULL THEN 'run' ELSE 'unlinked' END AS parent_kind,
-   CASE WHEN o.id IS NOT NULL AND NOT (o.kind=s.kind AND o.id=s.id) THEN o.id WHEN h.id IS NOT NULL THEN h.id ELSE 'unlinked' END AS parent_id
-  FROM dspans s LEFT JOIN own o ON o.instance_id=s.instance_id AND o.session_id=s.session_id AND o.span_id=coalesce(nullif(s.parent_span_id,''), s.run_id, '')
-  LEFT JOIN druns h ON h.instance_id=s.instance_id AND h.session_id=s.session_id AND h.run_id=s.run_id)"""
+owned AS (SELECT instance_id, session_id, span_id, max({'run': run, 'at': coalesce(epoch_us(started_at), -4611686018427387904), 'id': id, 'kind': kind}) AS o FROM (
+   SELECT instance_id, session_id, span_id, TRUE AS run, started_at, id, kind FROM druns UNION ALL SELECT instance_id, session_id, span_id, FALSE, started_at, id, kind FROM dspans) GROUP BY 1,2,3),
+placed AS (SELECT s.instance_id, s.session_id, s.kind, s.id, s.span_id, s.run_id, s.dur, CASE WHEN w.o.kind<>s.kind OR w.o.id<>s.id THEN w.o END AS o
+  FROM dspans s LEFT JOIN owned w ON w.instance_id=s.instance_id AND w.session_id=s.session_id AND w.span_id=coalesce(nullif(s.parent_span_id,''), s.run_id, '')),
+edges AS (SELECT p.instance_id, p.session_id, p.kind, p.id, p.span_id, p.dur AS duration_ms,
+   CASE WHEN p.o IS NOT NULL THEN p.o.kind WHEN h.id IS NOT NULL THEN 'run' ELSE 'unlinked' END AS parent_kind, coalesce(p.o.id, h.id, 'unlinked') AS parent_id
+  FROM placed p LEFT JOIN druns h ON h.instance_id=p.instance_id AND h.session_id=p.session_id AND h.run_id=p.run_id)"""
 TRACE = (*RUNS, "llm_calls", "tool_calls", "mcp_calls", "retry_events")
 query("trace_edges", lambda t: trace.trace_edges(t), TRACE, "SELECT * FROM edges", (SPANS, EDGES))
 query("critical_path", lambda t: trace.critical_path(t), TRACE, """

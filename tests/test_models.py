@@ -73,6 +73,57 @@ def test_deep_trace(tables):
     assert len(got) == 22 and {r.critical_duration_ms for r in got} == {22.0}
 
 
+def chains(n, sessions=3):
+    """Forests of ``n`` spans with random parents, loops, repeated span ids and spans of other runs."""
+    import random
+    rng = random.Random(n)
+    out = [event(s + 1, "agent.completed", 0, {"runId": f"r{s}", "sessionId": f"s{s % sessions}", "durationMs": 3, **({"spanId": "shared"} if s % 2 else {})}) for s in range(2 * sessions)]
+    for i in range(n):
+        parent = rng.choice(["", f"p{rng.randrange(n)}", f"p{rng.randrange(i + 1)}", "shared", "r0"])
+        out.append(event(i + 100, rng.choice(["tool.completed", "llm.completed"]), rng.randrange(50), {
+            "toolCallId": f"c{i}", "callId": f"c{i}", "runId": rng.choice(["gone", f"r{rng.randrange(2 * sessions)}"]), "sessionId": f"s{rng.randrange(sessions)}",
+            "spanId": f"p{rng.randrange(n) if i % 5 == 0 else i}", "parentSpanId": parent, "durationMs": rng.randrange(6)}))
+    return out
+
+
+def stored(t):
+    """The same tables, written."""
+    from spanlake.functions.lineage import written
+    from spanlake.tables import PROJECTIONS, Tables
+    return Tables(t.spark, {name: written(t.get(name)) for name in PROJECTIONS})
+
+
+def test_one_pass_and_doubling_agree(tables):
+    t = stored(tables(chains(120)))
+    by_pass = sorted(map(tuple, trace.critical_path(t).collect()))
+    assert sorted(map(tuple, trace.critical_path(t, largest=45).collect())) == by_pass and by_pass  # one of three sessions is larger
+
+
+def test_trace_of_100_000_spans_in_one_pass(spark):
+    import numpy as np
+    import pandas as pd
+    n = 100_000
+    name = np.array([f"p{i}" for i in range(n)])
+    one = pd.DataFrame({"instance_id": "i", "session_id": "a", "kind": ["run", *["tool"] * (n - 1)], "id": name, "span_id": name, "parent": ["", *name[:-1]], "run_id": "p0", "began": 0, "duration_ms": 1.0})
+    two = one.head(3).assign(session_id="b", duration_ms=[0.0, 5.0, 2.0])
+    rows = pd.concat([one, two], ignore_index=True)
+    parts = list(trace._each_session(rows.iloc[k:k + 7000] for k in range(0, len(rows), 7000)))
+    out = pd.concat(parts)
+    assert len(out) == n + 3 and set(out[out.session_id == "a"].critical_duration_ms) == {float(n)} and set(out[out.session_id == "b"].critical_duration_ms) == {7.0}
+
+
+def test_critical_path_joins_no_spans_and_leaves_no_table(spark, tables):
+    import os
+    from spanlake.functions.lineage import application_folder
+    t = stored(tables(TRACE))
+    folder = application_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = trace.critical_path(t)
+    assert set(os.listdir(folder)) == before
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 2  # calls and subagents with their runs, for a parent of their own
+
+
 def test_session_percentiles(tables):
     events = []
     for i, seconds in enumerate((1, 2, 10)):
