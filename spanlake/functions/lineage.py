@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _marked: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +52,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -57,3 +62,13 @@ def released(*tables: DataFrame) -> None:
     for df in tables:
         where, files = _hadoop(df.sparkSession, df.written_path)
         files.delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` makes inside; what they lead to must have been stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        released(*_scopes.pop())

@@ -61,3 +61,16 @@ def previous(df: DataFrame, keys: list[str], order: list[str], slice_by: Column,
     for new in columns:
         df = df.withColumn(new, F.col("_prev." + new))
     return df.drop("_prev")
+
+
+def volume_slices(df: DataFrame, keys: list[str], time: str, rows: int, name: str) -> DataFrame:
+    """Adds the number of a slice of about ``rows`` rows along ``time`` (a timestamp) of each key, whatever the hours hold.
+
+    Rows are counted per second, the counts are summed along a key's seconds, and a second belongs to the slice its first
+    row falls into; a slice exceeds ``rows`` only by what its last second holds.
+    """
+    second = F.floor(F.unix_micros(time) / F.lit(1000000.0)).alias("_second")
+    counts = df.groupBy(*keys, second).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_second").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
+    cuts = counts.select(*keys, "_second", F.floor(before / F.lit(rows)).cast("bigint").alias(name))
+    return df.withColumn("_second", second).join(cuts, [*keys, "_second"]).drop("_second")

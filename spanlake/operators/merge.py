@@ -14,6 +14,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.lineage import scratch
 from ..tables import Tables
 from . import reduce as R
 from .retention import PROJECTION_TIMES, Retention, expired
@@ -138,15 +139,17 @@ class StateStore:
         added = any(n.startswith("event_date=") for n in self._names(path))
         if added:
             ledger = self.spark.read.option("basePath", path).parquet(path)  # all folds read what was written
-            tables = {name: self._append(m, name, delta, version) for name, delta in self._deltas(ledger, m).items()}
+            with scratch():
+                tables = {name: self._append(m, name, delta, version) for name, delta in self._deltas(ledger, m).items()}
             done |= {"tables": {**m["tables"], **tables}, "ledger": m["ledger"] + [version]}
         if added or done["streams"] != m["streams"]:
             self._commit(done)
         return added
 
     def _deltas(self, ledger: DataFrame, m: dict) -> dict[str, DataFrame]:
-        out = {e.table: R.fold(ledger, e) for e in R.ENTITIES}
-        rows = R.usage_rows(ledger)
+        calls = R.call_rows(ledger)
+        out = {e.table: R.fold_rows(calls, e) if e is R.LLM else R.fold(ledger, e) for e in R.ENTITIES}
+        rows = R.usage_rows(calls)
         updates = R.usage_updates(rows)
         if not updates.isEmpty():
             raises = R.usage_states(R.match_usage_rows(rows, self._earlier_calls(m, updates)))

@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.lineage import written
-from ..functions.once import evaluated
-from ..functions.ordered import previous, running, time_slice
+from ..functions.once import evaluated, evaluated_in_steps
+from ..functions.ordered import running, time_slice
 from ..schemas import ARRIVAL
+from .usage import LARGEST, newest_calls
 
 TEXT_LIMIT = 512
 
@@ -25,6 +26,8 @@ def parsed(df: DataFrame) -> DataFrame:
 
 
 def _value(key: str, source: str) -> Column:
+    if source == "_s":
+        return F.col(f"_s.{key}")
     return F.try_variant_get(F.col(source) if source != "payload" else F.try_parse_json("payload"), f"$.{key}", "variant")
 
 
@@ -35,7 +38,7 @@ def payload_text(key: str, source: str = "payload") -> Column:
 
 
 def _numeric(v: Column) -> Column:
-    return F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.left(F.schema_of_variant(v), F.lit(3)).isin("BIG", "DEC", "DOU", "FLO")  # bigint, decimal, double, float
 
 
 def payload_number(key: str, source: str = "payload", kind: str = "double") -> Column:
@@ -111,12 +114,16 @@ SUBAGENTS = Entity("subagent_runs", ("subagent",), "subagent_id", ("subagentId",
 ENTITIES = (RUNS, LLM, TOOLS, MCP, SUBAGENTS)
 
 
+def of_family(ledger: DataFrame, family: str) -> DataFrame:
+    return ledger.where(F.col("event_type").isin(*[f"{family}.{s}" for s in ("started", "completed", "failed")]))
+
+
 def lifecycle(ledger: DataFrame, family: str) -> DataFrame:
-    return parsed(ledger.where(F.col("event_type").isin(*[f"{family}.{s}" for s in ("started", "completed", "failed")])))
+    return parsed(of_family(ledger, family))
 
 
 def _id(e: Entity) -> Column:
-    return F.coalesce(*[F.nullif(payload_text(k, "_p"), F.lit("")) for k in e.id_keys])
+    return F.coalesce(*[F.nullif(payload_text(k, "_s"), F.lit("")) for k in e.id_keys])
 
 
 def _attempt(source: str = "_p") -> Column:
@@ -124,19 +131,36 @@ def _attempt(source: str = "_p") -> Column:
     return F.when(n > 0, n).otherwise(F.lit(1)).cast("int")
 
 
-def fold(ledger: DataFrame, e: Entity, order: str = "arrival") -> DataFrame:
-    """State of every entity named in the ledger; events without an id are left out."""
-    events = lifecycle(ledger, e.families[0])
+def entity_rows(ledger: DataFrame, e: Entity, order: str = "arrival", flags: dict[str, str] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """What a fold needs of every event of a family, ``flags`` (payload key by column) and ``also`` columns of the ledger;
+    the id is null where the event names none."""
+    flags = flags or {}
+    keys = {*e.id_keys, *e.texts.values(), *e.frozen.values(), *e.numbers.values(), *e.counts.values(), *(k for k, _ in e.tops.values()), *(("attempt",) if e.attempts else ()), *flags.values()}
+    # one pass over the text takes out all keys, each as a variant that still knows its type
+    fields = F.from_json("payload", f"struct<{', '.join(f'{k}: variant' for k in sorted(keys))}>")
+    events = of_family(ledger, e.families[0]).withColumn("_s", fields)
     started = F.col("event_type").endswith("started")
-    fields = {c: payload_text(k, "_p") for c, k in {**e.texts, **e.frozen}.items()}
-    fields |= {c: payload_optional(k, "_p") for c, k in e.numbers.items()}
-    fields |= {c: payload_optional(k, "_p").cast("bigint") for c, k in e.counts.items()}
-    fields |= {c: payload_count(k, "_p") if kind == "bigint" else payload_number(k, "_p", kind) for c, (k, kind) in e.tops.items()}
+    made = {c: payload_text(k, "_s") for c, k in {**e.texts, **e.frozen}.items()}
+    made |= {c: payload_optional(k, "_s") for c, k in e.numbers.items()}
+    made |= {c: payload_optional(k, "_s").cast("bigint") for c, k in e.counts.items()}
+    made |= {c: payload_count(k, "_s") if kind == "bigint" else payload_number(k, "_s", kind) for c, (k, kind) in e.tops.items()}
     if e.attempts:
-        fields["attempt"] = _attempt()
-    rows = evaluated(events, F.col("instance_id"), _id(e).alias(e.key), arrival(order).alias("_ord"), F.col("occurred_at"), started.alias("_started"),
-                     F.when(started, "active").when(F.col("event_type").endswith("failed"), "failed").otherwise("completed").alias("_status"),
-                     *[c.alias(n) for n, c in fields.items()]).where(F.col(e.key).isNotNull())
+        made["attempt"] = _attempt("_s")
+    made = {e.key: _id(e), "_ord": arrival(order), "_started": started,
+            "_status": F.when(started, "active").when(F.col("event_type").endswith("failed"), "failed").otherwise("completed"),
+            **made, **{n: F.coalesce(payload_flag(k, "_s"), F.lit(False)) for n, k in flags.items()}}
+    kept = ["instance_id", "occurred_at", *also]
+    given = events.select(*dict.fromkeys([*kept, "event_type", *ARRIVAL, "_s"]))
+    return evaluated_in_steps(given, kept, made)
+
+
+def fold(ledger: DataFrame, e: Entity, order: str = "arrival") -> DataFrame:
+    """State of every entity named in the ledger; events without an id are left out."""
+    return fold_rows(entity_rows(ledger, e, order), e)
+
+
+def fold_rows(rows: DataFrame, e: Entity) -> DataFrame:
+    rows = rows.where(F.col(e.key).isNotNull())
 
     def stamped(value: Column) -> Column:
         return F.struct(F.col("_ord").alias("ord"), value.alias("v"))
@@ -184,11 +208,12 @@ def reduce_subagents(ledger: DataFrame, order: str = "arrival") -> DataFrame:
 
 
 def reduce_llm_calls(ledger: DataFrame, order: str = "arrival", usage: bool = True) -> DataFrame:
-    """Model calls; ``usage`` also raises counters by usage records that name only a run."""
-    state = fold(ledger, LLM, order)
-    if usage:
-        state = merge_states(state.unionByName(usage_states(match_usage(ledger)), allowMissingColumns=True), LLM)
-    return finish(state, LLM)
+    """Model calls; ``usage`` also raises counters by usage records that name only a run.  The ledger is read once."""
+    if not usage:
+        return finish(fold(ledger, LLM, order), LLM)
+    rows = call_rows(ledger, order)
+    state = fold_rows(rows, LLM).unionByName(usage_states(match_usage_rows(usage_rows(rows))), allowMissingColumns=True)
+    return finish(merge_states(state, LLM), LLM)
 
 
 # --- usage records without a call id -------------------------------------------------
@@ -196,73 +221,34 @@ def reduce_llm_calls(ledger: DataFrame, order: str = "arrival", usage: bool = Tr
 COUNTERS = list(LLM.tops)
 
 
-def usage_rows(ledger: DataFrame) -> DataFrame:
-    """What matching needs of every model event, written once since it is read several times."""
-    started = F.col("event_type").endswith("started")
-    texts = {"call_id": "callId", "run_id": "runId", "provider": "provider", "model": "model"}
-    rows = evaluated(lifecycle(ledger, "llm"), F.col("instance_id"), *[F.col(c) for c in ARRIVAL],
-                     *[payload_text(k, "_p").alias(c) for c, k in texts.items()], F.coalesce(payload_flag("accountingUpdate", "_p"), F.lit(False)).alias("update"),
-                     F.when(started, F.col("occurred_at")).alias("start"), F.when(~started, F.col("occurred_at")).alias("end"),
-                     *[(payload_count(k, "_p") if kind == "bigint" else payload_number(k, "_p", kind)).alias(c) for c, (k, kind) in LLM.tops.items()])
-    return written(rows.where("call_id <> '' or (update and run_id <> '')"))
+def call_rows(ledger: DataFrame, order: str = "arrival") -> DataFrame:
+    """What folds and matching need of every model event, written once since it is read several times."""
+    return written(entity_rows(ledger, LLM, order, {"update": "accountingUpdate"}, ARRIVAL))
 
 
-def usage_updates(rows: DataFrame) -> DataFrame:
-    return rows.where("call_id = '' and update").select("instance_id", *ARRIVAL, "run_id", "provider", "model", *COUNTERS)
+def usage_rows(rows: DataFrame) -> DataFrame:
+    """The part of ``call_rows`` that matching needs: events of calls, and records that name a run only."""
+    started = F.col("_started")
+    return rows.where("call_id is not null or (update and run_id <> '')").select(
+        "instance_id", *ARRIVAL, F.coalesce("call_id", F.lit("")).alias("call_id"), "run_id", "provider", "model", "update",
+        F.when(started, F.col("occurred_at")).alias("start"), F.when(~started, F.col("occurred_at")).alias("end"), *COUNTERS)
 
 
-def call_history(rows: DataFrame, runs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
-    """Every state a call of the given runs went through: run, provider, model and newest time,
-    valid from its arrival up to ``until``.  ``earlier`` are rows of calls known before."""
-    rows = rows.where("call_id <> ''").select("instance_id", "call_id", *ARRIVAL, *[F.nullif(c, F.lit("")).alias(c) for c in ("run_id", "provider", "model")], "start", "end")
-    if earlier is not None:
-        rows = rows.unionByName(earlier)
-    calls = rows.join(runs, ["instance_id", "run_id"], "left_semi").select("instance_id", "call_id").distinct()
-    rows = rows.join(calls, ["instance_id", "call_id"], "left_semi")
-    key, order, cut = ["instance_id", "call_id"], list(ARRIVAL), time_slice("received_at")
-    rows = running(rows, key, order, cut, {
-        "run_now": ("last", F.col("run_id")), "provider_now": ("last", F.col("provider")), "model_now": ("last", F.col("model")),
-        "start_now": ("min", F.when(F.col("start").isNotNull(), F.struct(*ARRIVAL, F.col("start").alias("v")))), "end_now": ("last", F.col("end"))})
-    rows = previous(rows.withColumn("_ord", F.struct(*ARRIVAL)), key, order, cut, {"until": "_ord"}, backwards=True)
-    return written(rows.where("run_now is not null").select(
-        "instance_id", "call_id", *ARRIVAL, F.col("run_now").alias("run_id"), F.coalesce("provider_now", F.lit("")).alias("provider"),
-        F.coalesce("model_now", F.lit("")).alias("model"), F.coalesce("end_now", F.col("start_now.v")).alias("newest"), "until"))
+def usage_updates(rows: DataFrame) -> DataFrame:
+    return rows.where("call_id = '' and update").select("instance_id", *ARRIVAL, "run_id", "provider", "model", *COUNTERS)
 
 
 def match_usage(ledger: DataFrame) -> DataFrame:
-    return match_usage_rows(usage_rows(ledger))
+    return match_usage_rows(usage_rows(call_rows(ledger)))
 
 
-def match_usage_rows(rows: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+def match_usage_rows(rows: DataFrame, earlier: DataFrame | None = None, largest: int = LARGEST) -> DataFrame:
     """Each usage record with the call it raises: the run's newest call known at its arrival, of the
-    provider and model it names.
-
-    A running maximum over the run gives the call; it stands when that call's state was still current.
-    Only records whose maximum had been replaced meanwhile look at the states valid at their arrival.
-    """
-    updates = usage_updates(rows)
-    history = call_history(rows, updates.select("instance_id", "run_id").distinct(), earlier)
-    blank = F.lit("")
-    views = F.array(*[F.struct(F.lit(p).alias("by_provider"), F.lit(m).alias("by_model"),
-                               (F.col("provider") if p else blank).alias("provider"), (F.col("model") if m else blank).alias("model"))
-                      for p in (False, True) for m in (False, True)])
-    call = F.struct("newest", "call_id", F.struct(*ARRIVAL).alias("since"), F.col("until"))
-    known = history.withColumn("_call", call).select("instance_id", "run_id", *ARRIVAL, "_call", F.inline(views))
-    asked = updates.select("instance_id", "run_id", *ARRIVAL, F.lit(None).cast(known.schema["_call"].dataType).alias("_call"),
-                           (F.col("provider") != "").alias("by_provider"), (F.col("model") != "").alias("by_model"), "provider", "model",
-                           F.struct(*COUNTERS).alias("_raise"))
-    known = known.withColumn("_raise", F.lit(None).cast(asked.schema["_raise"].dataType))
-    key = ["instance_id", "run_id", "by_provider", "by_model", "provider", "model"]
-    seen = running(known.unionByName(asked), key, list(ARRIVAL), time_slice("received_at"), {"_best": ("max", F.col("_call"))}).where("_raise is not null")
-    stands = F.col("_best.until").isNull() | (F.col("_best.until") > F.struct(*ARRIVAL))
-    cols = ["instance_id", *ARRIVAL, "run_id", "_raise"]
-    sure = seen.where(F.col("_best").isNotNull() & stands).select(*cols, F.col("_best.call_id").alias("call_id"))
-    doubtful = seen.where(F.col("_best").isNotNull() & ~stands).withColumn("_at", F.struct(*ARRIVAL)).select(*cols, "_at", *key[2:])
-    current = known.select(*key, F.col("_call").alias("_cand"))
-    settled = (doubtful.join(current, key)
-               .where((F.col("_cand.since") < F.col("_at")) & (F.col("_cand.until").isNull() | (F.col("_cand.until") > F.col("_at"))))
-               .groupBy(*cols).agg(F.max("_cand").alias("_cand")).select(*cols, F.col("_cand.call_id").alias("call_id")))
-    return sure.unionByName(settled).select("instance_id", "event_id", "run_id", "call_id", "_raise.*")
+    provider and model it names.  ``earlier`` are rows of calls known before, one per call."""
+    events = rows.where("call_id <> ''").select("instance_id", "call_id", *ARRIVAL, "run_id", "provider", "model", "start", "end")
+    records = usage_updates(rows).select("instance_id", *ARRIVAL, "run_id", "provider", "model", F.struct(*COUNTERS).alias("raise"))
+    found = newest_calls(events if earlier is None else events.unionByName(earlier), records, largest)
+    return found.select("instance_id", "event_id", "run_id", "call_id", "raise.*")
 
 
 def usage_states(matches: DataFrame) -> DataFrame:
