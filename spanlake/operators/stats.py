@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import written
 from ..functions.quantiles import rank_quantiles
 from ..tables import Tables
 from .attribution import Measure, RUN_KEY, llm_named, rolled_up, run_agents, tool_events, with_agent
@@ -100,9 +101,9 @@ TOOL_MEASURES = [
 def tool_rollup(events: DataFrame, t: Tables, p: Filters, dims: list[str], by_agent: bool) -> DataFrame:
     """Counts, rates and rank percentiles per ``dims``; the hot path never sorts the calls of a tool."""
     keys = dims + (["agent_id"] if by_agent else [])
-    sums = rolled_up(events, t, p, dims, TOOL_MEASURES, by_agent)
-    weighted = rolled_up(events, t, p, dims + ["duration_ms"], [Measure("n", "cast(1 as bigint)")], by_agent)
-    tails = rank_quantiles(weighted, keys, "duration_ms", TAILS, weight="n")
+    each = written(rolled_up(events, t, p, dims + ["duration_ms"], TOOL_MEASURES, by_agent))  # the calls are read once
+    sums = each.groupBy(*keys).agg(*[m.again() for m in TOOL_MEASURES])
+    tails = rank_quantiles(each, keys, "duration_ms", TAILS, weight="calls")
     return sums.join(tails, keys, "left").select(
         *keys, "calls", "errors", "active", percent("errors", "calls").alias("failureRate"), percent("done", "calls").alias("successRate"),
         F.expr("try_divide(duration, timed)").alias("averageDurationMs"), "maxDurationMs", *TAILS, "timeouts", "retries")

@@ -29,6 +29,15 @@ def test_rank_quantiles_against_sorting(spark):
             assert near[k][name] == order[max(1, math.ceil(len(order) * q)) - 1]
 
 
+@pytest.mark.parametrize("value", ["1e9 + rand(4) * 1e-3", "1e5 * pow(rand(5), 40)", "2 + cast(rand(6) * 3 as int) * 4.440892098500626e-16", "5 - exp(rand(7) * 400)"])
+def test_rank_quantiles_of_a_million_values(spark, value):
+    from spanlake.functions.lineage import written
+    df = written(spark.range(1_000_000).select(F.lit("k").alias("k"), F.when(F.col("id") % 50 > 0, F.expr(value)).alias("v")))
+    order = sorted((x.v for x in df.collect()), key=lambda v: (v or 0.0, v is not None))
+    got = rank_quantiles(df, ["k"], "v", {"p1": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}).collect()[0]
+    assert [got[f"p{q}"] for q in (1, 50, 95, 99)] == [order[int((len(order) - 1) * q / 100)] for q in (1, 50, 95, 99)]
+
+
 def test_running_values_against_a_plain_window(spark):
     from pyspark.sql import Window as W
     df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.lit("2026-01-01").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, id * 97.5)")).alias("t"), "id",
