@@ -64,7 +64,7 @@ def evaluate_alerts(t: Tables, now: str, p: Filters = Filters(), limits: Thresho
     parts.append(_alert(df, F.concat(lit("tool-latency:"), ident), severity, F.col("source"), F.col("tool"), F.col("p99DurationMs")))
     open_ = narrowed(t.sessions, p).where("status = 'active' and started_at is not null").withColumn("_age", (F.unix_millis(clock) - F.unix_millis("started_at")).cast("double"))
     df, severity = _above(open_, F.col("_age"), limits.session_stuck_ms, 2 * limits.session_stuck_ms)
-    parts.append(_alert(df, F.concat(lit("session-stuck:"), "session_id"), severity, lit("session"), F.col("session_id"), F.col("_age"), F.col("started_at")))
+    parts.append(_alert(df, F.concat(lit("session-stuck:"), "instance_id", lit(":"), "session_id"), severity, lit("session"), F.col("session_id"), F.col("_age"), F.col("started_at")))
     system = narrowed(t.ledger.where(F.col("event_type").isin(SYSTEM_EVENTS)), p, "occurred_at", None)
     parts.append(_alert(system, F.concat(lit("system:"), "event_id"), lit("critical"), lit("system"), F.col("event_id"), lit(None), F.col("occurred_at")))
     budget = limits.cost_budget_usd

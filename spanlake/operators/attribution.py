@@ -32,6 +32,17 @@ def run_agents(t: Tables, p: Filters | None = None) -> DataFrame:
     return df
 
 
+def of_runs(calls: DataFrame, t: Tables, p: Filters) -> DataFrame:
+    """The calls of runs that the filters on a run's own columns let through; all calls without such a filter.
+
+    The runs are few columns of one table, cut by the filter in the scan, so Spark sends them to the calls where they are few.
+    """
+    if p.but(agent=None) == Filters(limit=p.limit):
+        return calls
+    runs = narrowed(t.agent_runs, p.but(agent=None)).select(*RUN_KEY)
+    return calls.join(runs, RUN_KEY, "left_semi")
+
+
 def with_agent(df: DataFrame, t: Tables, p: Filters, extra: list[str] | None = None) -> DataFrame:
     """Adds ``agent_id`` to rows that carry (instance_id, run_id) and applies the agent filter."""
     t_runs = run_agents(t).select(*RUN_KEY, "agent_id", *[F.col(c).alias("run_" + c) for c in extra or []])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.lineage import written
 from ..functions.quantiles import rank_quantiles
 from ..tables import Tables
-from .attribution import Measure, RUN_KEY, llm_named, rolled_up, run_agents, tool_events, with_agent
+from .attribution import Measure, RUN_KEY, llm_named, of_runs, rolled_up, run_agents, tool_events, with_agent
 from .filters import Filters, blank_to, narrowed
 
 SYSTEM_EVENTS = ["gateway.crashed", "monitor.events_dropped", "monitor.plugin_error"]
@@ -43,13 +43,14 @@ def percent(part: str, whole: str):
 def agent_stats(t: Tables, p: Filters = Filters()) -> DataFrame:
     """Runs, errors, rates, durations, calls, tokens and cost per agent, most tokens first.
 
-    Both kinds of calls are summed per run before they join, on the key the runs are already shuffled by.
+    Both kinds of calls are summed per run before they join, on the key the runs are already shuffled by.  Under a filter,
+    calls of other runs are left out before the sums.
     """
     runs = run_agents(t, p).select(*RUN_KEY, "agent_id", "status", "duration_ms")
-    calls = t.llm_calls.groupBy(*RUN_KEY).agg(
+    calls = of_runs(t.llm_calls, t, p).groupBy(*RUN_KEY).agg(
         F.count("*").alias("llmRequests"), count("status = 'failed'").alias("llmErrors"),
         *[m.first() for m in TOKENS], COST.first(), F.sum(F.coalesce("duration_ms", F.lit(0.0))).alias("llmDurationMs"))
-    tools = tool_events(t).groupBy(*RUN_KEY).agg(
+    tools = of_runs(tool_events(t), t, p).groupBy(*RUN_KEY).agg(
         F.count("*").alias("toolCalls"), count("status = 'failed'").alias("toolErrors"),
         F.sum(F.coalesce("duration_ms", F.lit(0.0))).alias("toolDurationMs"))
     totals = ["llmRequests", "llmErrors", *TOKEN_NAMES, "llmDurationMs", "toolCalls", "toolErrors", "toolDurationMs"]
@@ -68,7 +69,7 @@ def agent_stats(t: Tables, p: Filters = Filters()) -> DataFrame:
 
 
 def agent_model_stats(t: Tables, p: Filters = Filters()) -> DataFrame:
-    per_run = (llm_named(t.llm_calls).groupBy(*RUN_KEY, "provider", "model")
+    per_run = (of_runs(llm_named(t.llm_calls), t, p).groupBy(*RUN_KEY, "provider", "model")
                .agg(REQUESTS.first(), *[m.first() for m in TOKENS], COST.first()))
     runs = run_agents(t, p).select(*RUN_KEY, F.col("agent_id").alias("agentId"))
     out = (per_run.join(runs, RUN_KEY).groupBy("agentId", "provider", "model")

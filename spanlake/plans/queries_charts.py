@@ -8,7 +8,7 @@ from ..operators import charts, pricing, trace
 from ..operators.charts import ChartSpec
 from ..operators.filters import Filters
 from .queries_lists import SPANS
-from .queries_stats import AGENT_STATS, ALL_CALLS, MODEL_STATS, NAMED, POINTS_ALL, SUMS
+from .queries_stats import AGENT_STATS, ALL_CALLS, FIGURES, MODEL_STATS, NAMED, POINTS_ALL, SUMS
 from .registry import query
 from .shared import ERROR_EVENTS, RUN_AGENTS, RUNS, TOOL_EVENTS
 
@@ -54,7 +54,7 @@ query("price_agent_models", lambda t: pricing.price_agent_models(t, aliased(t),
 , am AS (SELECT r.agent_id AS "agentId", {NAMED}, {SUMS} FROM llm_calls l JOIN run_agents r ON r.instance_id=l.instance_id AND r.run_id=l.run_id GROUP BY 1,2,3)
 SELECT "agentId", provider, model, {PRICED_COST} AS "costUsd" FROM am LEFT JOIN prices ON price_key=concat(lower(provider),'|',lower(model))
 """, (RUN_AGENTS, PRICES))
-AGENTS = AGENT_STATS.format(where="").strip().lstrip(",").replace("SELECT f.agent_id", ", agents AS (SELECT f.agent_id", 1) + ")"
+AGENTS = f"{FIGURES}, agents AS ({AGENT_STATS.format(where='')})"
 query("price_agents", lambda t: pricing.price_agents(t, aliased(t), aliases=ALIASES).select("agentId", F.round("costUsd", 6).alias("costUsd")), (*ALL_CALLS, "price_file"), """
 SELECT "agentId", round("totalTokens" * (SELECT sum("costUsd"::DECIMAL(38,12))::DOUBLE/sum("inputTokens"+"cacheReadTokens"+"outputTokens") FROM pm), 6) AS "costUsd" FROM agents
 """, (RUN_AGENTS, TOOL_EVENTS, PRICES, MODELS, PRICED_MODELS, AGENTS))

@@ -200,7 +200,7 @@ ALERTS = "alerts AS (" + " UNION ALL ".join([
     rule_sql("models", "concat('model-latency:',provider,':',model)", "'model'", "model", '"averageDurationMs"', 54000, 56000, "requests>=3"),
     rule_sql("tools", "concat('tool-error:',source,':',tool)", "source", "tool", '"failureRate"', 20, 34, "calls>=3"),
     rule_sql("tools", "concat('tool-latency:',source,':',tool)", "source", "tool", '"p99DurationMs"', 100000, 104000, "calls>=3"),
-    rule_sql(f"(SELECT *, (epoch_ms(TIMESTAMP '{ALERT_NOW}')-epoch_ms(started_at))::DOUBLE AS age FROM sessions WHERE status='active')", "concat('session-stuck:',session_id)", "'session'", "session_id", "age", "1.9e11", "3.8e11", at="started_at"),
+    rule_sql(f"(SELECT *, (epoch_ms(TIMESTAMP '{ALERT_NOW}')-epoch_ms(started_at))::DOUBLE AS age FROM sessions WHERE status='active')", "concat_ws(':','session-stuck',instance_id,session_id)", "'session'", "session_id", "age", "1.9e11", "3.8e11", at="started_at"),
     "SELECT concat('system:',event_id), 'critical', 'system', event_id, NULL, occurred_at FROM ledger WHERE event_type IN ('gateway.crashed','monitor.events_dropped','monitor.plugin_error')",
     rule_sql(f"(SELECT sum(cost_usd) FILTER (WHERE started_at>=TIMESTAMP '{ALERT_NOW}' - INTERVAL 30 DAY)::DOUBLE AS c FROM llm_calls)", "'cost-budget:monthly'", "'cost'", "'monthly'", "c", 2400000, 3000000),
     "SELECT CASE subject WHEN 'stream' THEN 'stream:event-stale' ELSE concat('instance:stale:',id) END, CASE WHEN age>=c THEN 'critical' ELSE 'warning' END, 'system', id, age, CASE subject WHEN 'stream' THEN \"at\" END FROM stale WHERE age>=w",

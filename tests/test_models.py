@@ -180,12 +180,12 @@ def test_alerts(tables):
     t = tables(events)
     got = alerts.evaluate_alerts(t, "2026-07-10 10:30:00", bucket="1m")
     by_id = {r.id: r.severity for r in got.collect()}
-    assert by_id["agent-error:tom"] == "critical" and by_id["tool-latency:tool:slow"] == "warning" and by_id["session-stuck:stuck"] == "critical"
+    assert by_id["agent-error:tom"] == "critical" and by_id["tool-latency:tool:slow"] == "warning" and by_id["session-stuck:local-test:stuck"] == "critical"
     assert by_id["instance:down:local-test"] == "critical" and by_id["stream:event-stale"] == "critical" and sum(k.startswith("system:") for k in by_id) == 1
     assert [r.severity for r in got.collect()] == sorted(by_id.values())
     state = t.spark.createDataFrame([("agent-error:tom", True, None), ("stream:event-stale", False, datetime(2027, 1, 1))], "id string, acknowledged boolean, silenced_until timestamp")
     flags = {r.id: (r.acknowledged, r.silenced) for r in alerts.apply_alert_state(got, state, "2026-07-10 10:30:00").collect()}
-    assert flags["agent-error:tom"] == (True, False) and flags["stream:event-stale"] == (False, True) and flags["session-stuck:stuck"] == (False, False)
+    assert flags["agent-error:tom"] == (True, False) and flags["stream:event-stale"] == (False, True) and flags["session-stuck:local-test:stuck"] == (False, False)
 
 
 def test_counter_reset_and_hold(spark):
