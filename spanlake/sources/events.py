@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..operators.pricing import price_dimension
 from ..operators.validate import rejection
 from ..schemas import LEDGER_COLUMNS, MAX_BATCH_BYTES, MAX_BATCH_EVENTS, WIRE
+from ..tables import BUCKET, BUCKETS, ROW_KEYS, key_bucket
 
 DIAGNOSTICS = T.StructType([
     *[T.StructField(n, T.StringType()) for n in (
@@ -121,9 +122,24 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_projections(frames: dict[str, DataFrame], root: str) -> None:
+def write_projections(frames: dict[str, DataFrame], root: str, changed: dict[str, DataFrame] | None = None) -> None:
+    """Finished projections in folders by a hash of their key.
+
+    With ``changed``, which has the keys of new and altered rows by projection, only the folders of those keys are
+    written anew, whole, and all others stay as they are; a projection without an entry is not touched.
+    """
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        placed = df.withColumn(BUCKET, key_bucket(*map(F.col, ROW_KEYS[name])))
+        if changed is not None:
+            if name not in changed:
+                continue
+            touched = changed[name].select(key_bucket(*map(F.col, ROW_KEYS[name])).alias(BUCKET)).distinct()
+            placed = placed.join(touched, BUCKET, "left_semi")
+        spread = F.pmod(F.floor(F.xxhash64(*ROW_KEYS[name]) / BUCKETS), F.lit(16))  # several tasks and files a folder
+        (placed.repartition(BUCKET, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if changed is not None else "static")
+         .partitionBy(BUCKET).parquet(f"{root}/{name}"))
+        if changed is None and df.isEmpty():  # a file without rows tells readers the columns
+            df.write.mode("overwrite").parquet(f"{root}/{name}/{BUCKET}=0")
 
 
 def write_metric_snapshot(snapshot: DataFrame, path: str) -> None:
