@@ -6,27 +6,38 @@ merge what is there, and every few appends are merged into one, so a row is rewr
 number of times.  One manifest file, made visible by a rename, switches the ledger and all tables to the
 new version at once.  What makes an event new is its id alone, over the whole ledger, so a repeated batch changes
 nothing and a batch is never skipped for its number; the manifest keeps the highest number per stream as progress.
+
+Ids known so far lie beside the ledger, without payloads, in runs that merge by the same levels.  A run is cut into
+folders by a hash of the id, as many as keep a folder near ``ids_per_folder`` rows, so a batch of n ids reads at most n
+folders of a run, however large the ledger is.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce as _fold
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.lineage import scratch
+from ..functions.lineage import scratch, written
 from ..tables import Tables
 from . import reduce as R
 from .retention import PROJECTION_TIMES, Retention, expired
 from .validate import dedup_events
 
 FANOUT = 8      # appends of one level that are merged into the next
+IDS_PER_FOLDER = 1 << 20
+ID_FOLDER = "id_folder"
 
 BY_TABLE = {e.table: e for e in R.ENTITIES}
 KEYS = {"instances": ["instance_id"], "sessions": ["instance_id", "session_id"], **{e.table: ["instance_id", e.key] for e in R.ENTITIES},
         "retry_events": ["event_id"], "resource_samples": ["event_id"]}
 APPEND_ONLY = ("retry_events", "resource_samples")
-EMPTY = {"version": -1, "streams": {}, "tables": {}, "ledger": [], "ledger_from": None}
+EMPTY = {"version": -1, "streams": {}, "tables": {}, "ledger": [], "ledger_from": None, "ids": []}
+
+
+def id_folder(folders: int) -> Column:
+    return F.pmod(F.xxhash64("event_id"), F.lit(folders)).cast("int")
 
 
 def merged(name: str, states: DataFrame) -> DataFrame:
@@ -46,8 +57,8 @@ def finished(name: str, state: DataFrame) -> DataFrame:
 class StateStore:
     """Versioned state tables and ledger under one folder all executors can reach."""
 
-    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
-        self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
+    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT, ids_per_folder: int = IDS_PER_FOLDER):
+        self.spark, self.root, self.fanout, self.ids_per_folder = spark, root.rstrip("/"), fanout, ids_per_folder
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -60,7 +71,7 @@ class StateStore:
     def manifest(self) -> dict:
         names = [n for n in self._names(f"{self.root}/manifests") if n.endswith(".json")]
         if not names:
-            return dict(EMPTY)
+            return {**EMPTY, "ids": []}
         return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/manifests/{names[-1]}").head()[0])
 
     def _commit(self, manifest: dict) -> None:
@@ -75,8 +86,9 @@ class StateStore:
     def vacuum(self) -> None:
         """Deletes what the newest manifest no longer names; readers of older versions must be done."""
         m = self.manifest()
-        for name in KEYS:
-            used = {path for path, _ in m["tables"].get(name, [])}
+        entries = {**{name: m["tables"].get(name, []) for name in KEYS}, "ids": m.get("ids", [])}
+        for name in entries:
+            used = {entry[0] for entry in entries[name]}
             for n in self._names(f"{self.root}/{name}"):
                 if n not in used:
                     self._fs.delete(self._path(f"{self.root}/{name}/{n}"), True)
@@ -115,11 +127,55 @@ class StateStore:
 
     # --- writing ----------------------------------------------------------------------
 
+    def _ids(self, m: dict, entries: list) -> DataFrame:
+        """Ids of some runs, each in its own folders; those of days that were purged are no longer known."""
+        parts = [self.spark.read.schema(f"event_id string, event_date date, {ID_FOLDER} int").parquet(f"{self.root}/ids/{path}") for path, *_ in entries]
+        ids = _fold(DataFrame.union, parts)
+        return ids.where(F.col("event_date") >= F.lit(m["ledger_from"][:10]).cast("date")) if m["ledger_from"] else ids
+
+    def _write_ids(self, ids: DataFrame, path: str, level: int) -> list:
+        """Writes a run of ids and returns its entry (path, level, folders)."""
+        folders = 1 << (max(ids.count() - 1, 0) // self.ids_per_folder).bit_length()  # powers of two, so that few numbers occur
+        (ids.select("event_id", "event_date", id_folder(folders).alias(ID_FOLDER)).repartition(ID_FOLDER)
+         .write.mode("overwrite").partitionBy(ID_FOLDER).parquet(f"{self.root}/ids/{path}"))
+        return [path, level, folders]
+
+    def _append_ids(self, m: dict, ids: DataFrame, version: int) -> list:
+        entries, level = self._known(m) + [self._write_ids(ids, f"v={version}", 0)], 0
+        while sum(1 for e in entries if e[1] == level) >= self.fanout:
+            full = [e for e in entries if e[1] == level]
+            entries = [e for e in entries if e[1] != level] + [self._write_ids(self._ids(m, full), f"v={version}-{level + 1}", level + 1)]
+            level += 1
+        return entries
+
+    def _known(self, m: dict) -> list:
+        """The runs of known ids; a store that has a ledger only gets its first run here."""
+        if "ids" not in m and (ledger := self.ledger({**m, "ledger_from": None})) is not None:
+            m["ids"] = [self._write_ids(ledger, f"v={m['version']}-ledger", 0)]
+        return m.setdefault("ids", [])
+
+    def candidates(self, batch: DataFrame, m: dict) -> DataFrame | None:
+        """Known ids in the folders that the batch's ids fall into, None without any.
+
+        The batch is read once per number of folders that occurs, so it should be a table.
+        """
+        parts = []
+        for folders in sorted({e[2] for e in self._known(m)}):
+            ids = self._ids(m, [e for e in m["ids"] if e[2] == folders])
+            if folders > 1:
+                met = [r[0] for r in batch.select(id_folder(folders)).distinct().collect()]  # numbers of folders, at most one an id
+                ids = ids.where(F.col(ID_FOLDER).isin(met))
+            parts.append(ids.select("event_id"))
+        return _fold(DataFrame.union, parts) if parts else None
+
     def fresh(self, batch: DataFrame, m: dict) -> DataFrame:
-        """Events whose id is not in the ledger yet, on whatever day; of the ledger only the ids are read."""
-        batch = batch.withColumn("event_date", F.to_date("occurred_at"))
-        ledger = self.ledger({**m, "ledger_from": None})
-        return batch if ledger is None else batch.join(ledger.select("event_id"), "event_id", "left_anti")
+        """Events whose id is not in the ledger yet, on whatever day.
+
+        Known ids meet only the ids of the batch; what they have in common, the repeats, then leaves the batch.
+        """
+        dated = batch.withColumn("event_date", F.to_date("occurred_at"))
+        ids = self.candidates(batch, m)
+        return dated if ids is None else dated.join(ids.join(batch.select("event_id"), "event_id", "left_semi"), "event_id", "left_anti")
 
     def progress(self, stream: str = "batches") -> int:
         """The highest batch number of a stream that is in the store; -1 before the first."""
@@ -134,14 +190,16 @@ class StateStore:
         version = m["version"] + 1
         path = f"{self.root}/ledger/v={version}"
         spread = F.pmod(F.xxhash64("event_id"), F.lit(16))
-        self.fresh(dedup_events(batch), m).repartition("event_date", spread).write.mode("overwrite").partitionBy("event_date").parquet(path)
+        with scratch():
+            events = self.fresh(written(dedup_events(batch)), m)
+            events.repartition("event_date", spread).write.mode("overwrite").partitionBy("event_date").parquet(path)
         done = {**m, "version": version, "streams": {**m["streams"], stream: max(batch_id, m["streams"].get(stream, -1))}}
         added = any(n.startswith("event_date=") for n in self._names(path))
         if added:
             ledger = self.spark.read.option("basePath", path).parquet(path)  # all folds read what was written
             with scratch():
                 tables = {name: self._append(m, name, delta, version) for name, delta in self._deltas(ledger, m).items()}
-            done |= {"tables": {**m["tables"], **tables}, "ledger": m["ledger"] + [version]}
+            done |= {"tables": {**m["tables"], **tables}, "ledger": m["ledger"] + [version], "ids": self._append_ids(m, ledger, version)}
         if added or done["streams"] != m["streams"]:
             self._commit(done)
         return added
