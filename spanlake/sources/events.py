@@ -34,10 +34,14 @@ def ledger_row(wire: Column) -> Column:
     return F.struct(*fields)
 
 
-def batches_of(df: DataFrame, batch_id: Column, received_at: Column, text: str = "value") -> DataFrame:
-    """(batch_id, received_at, bytes, events) from one JSON array text per batch; unreadable text has no events."""
+def batches_of(df: DataFrame, batch_id: Column, received_at: Column, text: str = "value", size: Column | None = None) -> DataFrame:
+    """(batch_id, received_at, bytes, events) from one JSON array text per batch; unreadable text has no events.
+
+    ``size`` is the size in bytes where it is known without the text, which may then be null.
+    """
     events = F.transform(F.from_json(text, T.ArrayType(WIRE)), ledger_row)
-    return df.select(batch_id.alias("batch_id"), received_at.alias("received_at"), F.octet_length(text).alias("bytes"), F.coalesce(events, F.array().cast(ledger_type())).alias("events"))
+    size = F.octet_length(text) if size is None else size
+    return df.select(batch_id.alias("batch_id"), received_at.alias("received_at"), size.cast("bigint").alias("bytes"), F.coalesce(events, F.array().cast(ledger_type())).alias("events"))
 
 
 def ledger_type() -> T.ArrayType:
@@ -45,18 +49,21 @@ def ledger_type() -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(c, T.TimestampType() if n == "occurredAt" else kinds[n]) for n, c in LEDGER_COLUMNS.items()]))
 
 
-def _files(reader, path: str) -> DataFrame:
-    df = reader.option("wholetext", True).text(path)
-    return batches_of(df.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_at")), F.col("_file"), F.col("_at"))
+def _files(load) -> DataFrame:
+    """Batch files, each a row.  The size is looked at before the content: a file above the limit is named, never read."""
+    files = load()
+    small = files.where(F.col("length") <= MAX_BATCH_BYTES).withColumn("value", F.col("content").cast("string")).drop("content")
+    large = load().where(F.col("length") > MAX_BATCH_BYTES).drop("content").withColumn("value", F.lit(None).cast("string"))
+    return batches_of(small.unionByName(large), F.col("path"), F.col("modificationTime"), size=F.col("length"))
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """One row per batch file, each a JSON array of envelopes."""
-    return _files(spark.read, path)
+    return _files(lambda: spark.read.format("binaryFile").load(path))
 
 
 def stream_batches(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark.readStream, path)
+    return _files(lambda: spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path))
 
 
 def stream_kafka(spark: SparkSession, **options: str) -> DataFrame:

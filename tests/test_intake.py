@@ -30,9 +30,14 @@ def test_event_files(spark, tmp_path):
     put(tmp_path / "in", "c.json", "[]")
     put(tmp_path / "in", "d.json", "no json")
     put(tmp_path / "in", "e.json", [wire(n) for n in range(100, 1101)])
+    put(tmp_path / "in", "f.json", " " * (1 << 20) + "[]")
+    (tmp_path / "in" / "g.json").write_bytes(b"[\xff\xfe]")
     batches = src.read_batches(spark, str(tmp_path / "in")).withColumn("problem", src.batch_problem(NOW))
     got = {r.batch_id.rsplit("/", 1)[1]: r.problem for r in batches.collect()}
-    assert got == {"a.json": None, "b.json": "bad_event", "c.json": "batch_events", "d.json": "batch_events", "e.json": "batch_events"}
+    assert got == {"a.json": None, "b.json": "bad_event", "c.json": "batch_events", "d.json": "batch_events", "e.json": "batch_events", "f.json": "batch_bytes", "g.json": "batch_events"}
+    scans = [line for line in batches._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan binaryFile" in line]
+    assert sum("content" in line.split("Batched")[0] and "LessThanOrEqual(length,1048576)" in line for line in scans) == 1
+    assert sum("content" not in line.split("Batched")[0] and "GreaterThan(length,1048576)" in line for line in scans) == 1
     ok = src.accepted(src.read_batches(spark, str(tmp_path / "in")), NOW).orderBy("sequence").collect()
     assert [r.sequence for r in ok] == [1, 2]
     assert ok[0].occurred_at == datetime(2026, 7, 10, 8, 0, 0, 500000) and json.loads(ok[0].payload)["deep"] == {"a": [1, "x"]}
@@ -128,6 +133,35 @@ def test_live_views(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tail")).count() == 6
 
 
+def test_counts_of_a_stream(spark, tmp_path):
+    put(tmp_path / "in", "1.json", [wire(1), wire(2, second=20), wire(3, "llm.started", 70, {"callId": "c"})])
+    events = ingest.unique_events(src.stream_batches(spark, str(tmp_path / "in")), NOW)
+    raw = src.accepted(src.stream_batches(spark, str(tmp_path / "in")), NOW)
+    batches = []
+
+    def collect(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    assert {(r.event_type, r.events) for r in collect(ingest.event_pulse(raw), "pulse", "complete")} == {("agent.started", 2), ("llm.started", 1)}
+    sliding = {(r.at, r.event_type): (r.events, r.rate) for r in collect(ingest.sliding_counts(raw, "1 minute", "30 seconds"), "sliding", "complete")}
+    minute = lambda s: datetime(2026, 7, 10, 8, s // 60, s % 60)
+    assert sliding == {(minute(30), "agent.started"): (2, 2 / 60), (minute(60), "agent.started"): (2, 2 / 60), (minute(90), "llm.started"): (1, 1 / 60), (minute(120), "llm.started"): (1, 1 / 60)}
+    q = ingest.start_refresh(events, lambda batch, n: batches.append((n, batch.count())), str(tmp_path / "refresh"))
+    q.processAllAvailable()
+    q.stop()
+    assert batches[0] == (0, 3)
+
+
+def test_metric_snapshots_are_appended(spark, tmp_path):
+    for second in (1, 2):
+        src.write_metric_snapshot(spark.createDataFrame([(datetime(2026, 7, 10, 8, 0, second), m, {"instance": "i"}, float(second)) for m in ("up", "queue")],
+                                                        "ts timestamp, metric string, labels map<string,string>, value double"), str(tmp_path / "snapshots"))
+    back = spark.read.parquet(str(tmp_path / "snapshots")).where("metric = 'up'")
+    assert sorted(r.value for r in back.collect()) == [1.0, 2.0]
+
+
 def test_write_and_read_back(spark, tmp_path, ledger):
     src.write_ledger(ledger([event(1, "agent.started", 0, {}), event(2, "agent.started", -86400, {})]), str(tmp_path / "ledger"))
     back = src.read_ledger(spark, str(tmp_path / "ledger"))
