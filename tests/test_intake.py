@@ -154,14 +154,6 @@ def test_counts_of_a_stream(spark, tmp_path):
     assert batches[0] == (0, 3)
 
 
-def test_metric_snapshots_are_appended(spark, tmp_path):
-    for second in (1, 2):
-        src.write_metric_snapshot(spark.createDataFrame([(datetime(2026, 7, 10, 8, 0, second), m, {"instance": "i"}, float(second)) for m in ("up", "queue")],
-                                                        "ts timestamp, metric string, labels map<string,string>, value double"), str(tmp_path / "snapshots"))
-    back = spark.read.parquet(str(tmp_path / "snapshots")).where("metric = 'up'")
-    assert sorted(r.value for r in back.collect()) == [1.0, 2.0]
-
-
 def test_write_and_read_back(spark, tmp_path, ledger):
     src.write_ledger(ledger([event(1, "agent.started", 0, {}), event(2, "agent.started", -86400, {})]), str(tmp_path / "ledger"))
     back = src.read_ledger(spark, str(tmp_path / "ledger"))
