@@ -120,21 +120,26 @@ def reject_bad_batches(df: DataFrame, now: str | None = None) -> DataFrame:
     return df.join(good, "batch_id", "left_semi")
 
 
-def dedup_events(df: DataFrame) -> DataFrame:
-    """The first arrival of each event id.
+def dedup_events(df: DataFrame, columns: list[str] | None = None, payload_of: tuple[str, ...] | None = None) -> DataFrame:
+    """The first arrival of each event id, with all or the named columns.
 
-    A minimum per id combines on the map side, so any number of copies shrinks before the shuffle.
+    A minimum per id combines on the map side, so any number of copies shrinks before the shuffle.  What is not asked for
+    is not carried: other columns, and payloads of families outside of ``payload_of`` (null then).  Copies that arrive
+    together are ranked by a hash of all other columns, so every form keeps the same copy.
     """
+    columns = columns or df.columns
     lead = [c for c in ("received_at", "producer_id", "sequence", "batch_id") if c in df.columns]
     rest = [c for c in df.columns if c not in lead and c != "event_id"]
-    first = df.groupBy("event_id").agg(F.min(F.struct(*lead, *rest)).alias("_first"))
-    return first.select(*[F.col("event_id") if c == "event_id" else F.col("_first." + c).alias(c) for c in df.columns])
+    family = F.split_part("event_type", F.lit("."), F.lit(1)) if payload_of else None
+    kept = [F.when(family.isin(*payload_of), F.col(c)).alias(c) if payload_of and c == "payload" else F.col(c) for c in rest if c in columns]
+    first = df.groupBy("event_id").agg(F.min(F.struct(*lead, *([F.xxhash64(*rest).alias("_tie")] if rest else []), *kept)).alias("_first"))
+    return first.select(*[F.col("event_id") if c == "event_id" else F.col("_first." + c).alias(c) for c in columns])
 
 
 def ingest_report(df: DataFrame) -> DataFrame:
     """Accepted, inserted and duplicate events per batch."""
     accepted = df.groupBy("batch_id").agg(F.count("*").alias("accepted"))
-    inserted = dedup_events(df).groupBy("batch_id").agg(F.count("*").alias("inserted"))
+    inserted = dedup_events(df, ["batch_id"]).groupBy("batch_id").agg(F.count("*").alias("inserted"))
     return (accepted.join(inserted, "batch_id", "left")
             .select("batch_id", "accepted", F.coalesce("inserted", F.lit(0)).alias("inserted"),
                     (F.col("accepted") - F.coalesce("inserted", F.lit(0))).alias("duplicates")))
