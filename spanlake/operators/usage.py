@@ -29,25 +29,25 @@ NEVER = -(1 << 62)   # a time before all others
 LEVELS = 24          # a run has up to 2^24 slices
 EVENT, RECORD, BEST = 0, 1, 2
 FIELDS = ("run_id", "provider", "model")
+GROUPED = ("kind", "call_id", "home", *FIELDS, "start", "end")
 
 
-def _group(rows: pd.DataFrame) -> tuple[list[int], list[str]]:
-    """(places of matched records, their calls) of one group in order of arrival.
+def _group(rows: dict[str, list], first: int, last: int) -> tuple[list[int], list[str]]:
+    """(places of matched records, their calls) of the group that ``rows`` hold from ``first`` to ``last``, in order of arrival.
 
     Per question (provider and model, empty for any) a heap has the calls by newest time and id; an entry counts while
     the call still stands as it did when the entry was made.
     """
-    kind = rows["kind"].tolist()
-    asked = {(p, m) for k, p, m in zip(kind, rows["provider"], rows["model"]) if k == RECORD}
+    kind, calls, home_of, run_of, providers, models, starts, ends = [rows[c][first:last] for c in GROUPED]
+    asked = {(p, m) for k, p, m in zip(kind, providers, models) if k == RECORD}
     if not asked:
         return [], []
-    calls = rows["call_id"].tolist()
     rank = {c: -i for i, c in enumerate(sorted({c for c in calls if c is not None}))}
     name = {r: c for c, r in rank.items()}
     heaps: dict[tuple[str, str], list] = {q: [] for q in asked}
     state: dict[str, list] = {}
     places, found = [], []
-    for at, (k, call, home, run, provider, model, start, end) in enumerate(zip(kind, calls, rows["home"], rows["run_id"], rows["provider"], rows["model"], rows["start"], rows["end"])):
+    for at, (k, call, home, run, provider, model, start, end) in enumerate(zip(kind, calls, home_of, run_of, providers, models, starts, ends), first):
         if k == RECORD:
             heap = heaps[provider, model]
             while heap and heap[0][2] is not None and state[name[heap[0][1]]][5] != heap[0][2]:
@@ -78,9 +78,10 @@ def _matched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def solved(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
         places, found = [], []
+        lists = {c: rows[c].tolist() for c in GROUPED}  # once for all groups, most of which have a few rows
         for a, b in zip(cuts, cuts[1:]):
-            at, calls = _group(rows.iloc[a:b])
-            places += [a + i for i in at]
+            at, calls = _group(lists, a, b)
+            places += at
             found += calls
         return plain_columns(rows.iloc[places][["instance_id", "event_id", "home", "raise"]].assign(call_id=np.array(found, dtype=object)))
 

@@ -1,6 +1,7 @@
 import random
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,14 @@ def test_slices_by_volume(spark):
     rows = spark.range(10_000).select(F.lit("k").alias("k"), (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.when(F.col("id") < 9000, F.col("id") / 10).otherwise(F.col("id") * 100))).alias("t"))
     sizes = [r["count"] for r in volume_slices(rows, ["k"], "t", 500, "cut").groupBy("cut").count().collect()]
     assert sum(sizes) == 10_000 and max(sizes) <= 510  # nine tenths of the rows lie in a quarter of an hour
+
+
+def test_small_runs_of_a_chunk_share_the_reading_of_columns(monkeypatch):
+    """A chunk of 500 runs, each a call and a record, turns every column into a list once."""
+    rows = pd.DataFrame([{"kind": kind, "instance_id": "i", "home": f"r{i}", "call_id": f"c{i}" if kind == U.EVENT else None, "event_id": f"e{i}", "run_id": f"r{i}", "provider": "", "model": "",
+                          "start": 1, "end": U.NEVER, "raise": "{}", "cut": 0} for i in range(500) for kind in (U.EVENT, U.RECORD)])
+    lists, plain = [], pd.Series.tolist
+    monkeypatch.setattr(pd.Series, "tolist", lambda self: lists.append(self.name) or plain(self))
+    found = pd.concat(U._matched(iter([rows])))
+    assert found["call_id"].tolist() == [f"c{i}" for i in range(500)] and found["home"].tolist() == [f"r{i}" for i in range(500)]
+    assert len(lists) < 20
