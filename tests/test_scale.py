@@ -4,7 +4,7 @@ import pytest
 
 from conftest import event
 
-from spanlake.operators import validate
+from spanlake.operators import reduce, validate
 from spanlake.plans import queries_ledger
 from spanlake.sources import adapter
 
@@ -69,3 +69,28 @@ def test_spark_builds_the_rows_of_the_shared_text(spark, monkeypatch, name):
 def test_folds_of_one_family_read_the_payloads_of_that_family(spark):
     rows = queries_ledger.clean_of(adapter.FixtureTables(spark, SF), "mcp").select("event_type", "payload").collect()
     assert rows and {r.event_type.split(".")[0] for r in rows} == {"mcp"} and all(r.payload for r in rows)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_that_arrive_again_are_copied_from_the_rows_made(spark, monkeypatch):
+    built = adapter.FixtureTables(spark, SF).raw_events
+    monkeypatch.setattr(adapter, "SPARK_SQL", {k: v for k, v in adapter.SPARK_SQL.items() if k != "raw_events"})
+    plain = adapter.FixtureTables(spark, SF).raw_events
+    assert plan_of(built).count("Join") < plan_of(plain).count("Join")
+    assert built.dtypes == plain.dtypes
+    assert built.exceptAll(plain).isEmpty() and plain.exceptAll(built).isEmpty()
+
+
+def test_raised_counters_meet_finished_calls(ledger, monkeypatch):
+    """The wide states of calls are combined once; only counters are raised, by records without a call."""
+    def refused(*_):
+        raise AssertionError("states combined twice")
+    monkeypatch.setattr(reduce, "merge_states", refused)
+    rows = [event(1, "llm.started", 0, {"callId": "c", "runId": "r", "model": "m", "inputTokens": 5, "outputTokens": 9}, arrival=1),
+            event(2, "llm.started", 1, {"accountingUpdate": True, "runId": "r", "inputTokens": 7, "outputTokens": 3}, arrival=2),
+            event(3, "llm.started", 1, {"callId": "d", "runId": "q", "inputTokens": 4}, arrival=3)]
+    calls = {r.call_id: r for r in reduce.reduce_llm_calls(ledger(rows)).collect()}
+    assert [(calls[c].run_id, calls[c].model, calls[c].input_tokens, calls[c].output_tokens, calls[c].cost_usd) for c in "cd"] == [("r", "m", 7, 9, 0), ("q", "", 4, 0, 0)]
