@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.once import evaluated
 from ..functions.ordered import SEQUENCE_SLICE, previous, running
@@ -120,20 +122,31 @@ def reject_bad_batches(df: DataFrame, now: str | None = None) -> DataFrame:
     return df.join(good, "batch_id", "left_semi")
 
 
+def in_families(*families: str) -> Column:
+    """Whether the part of the event type before its first dot is one of the names; nothing is split."""
+    kind = F.col("event_type")
+    return reduce(or_, [F.startswith(kind, F.lit(name + ".")) | (kind == name) for name in families])
+
+
 def dedup_events(df: DataFrame, columns: list[str] | None = None, payload_of: tuple[str, ...] | None = None) -> DataFrame:
     """The first arrival of each event id, with all or the named columns.
 
-    A minimum per id combines on the map side, so any number of copies shrinks before the shuffle.  What is not asked for
-    is not carried: other columns, and payloads of families outside of ``payload_of`` (null then).  Copies that arrive
-    together are ranked by a hash of all other columns, so every form keeps the same copy.
+    Any number of copies shrinks to one per task before the shuffle.  Whole rows are combined as a minimum per id.  With
+    named columns the copies of an id are ordered by arrival and limited to the first, before the shuffle and after it,
+    which sorts rows as they are and makes no states; what is not asked for is not carried: other columns, and payloads of
+    families outside of ``payload_of`` (null then).  Copies that arrive together are ranked by a hash of all other columns,
+    so every form keeps the same copy.
     """
-    columns = columns or df.columns
     lead = [c for c in ("received_at", "producer_id", "sequence", "batch_id") if c in df.columns]
     rest = [c for c in df.columns if c not in lead and c != "event_id"]
-    family = F.split_part("event_type", F.lit("."), F.lit(1)) if payload_of else None
-    kept = [F.when(family.isin(*payload_of), F.col(c)).alias(c) if payload_of and c == "payload" else F.col(c) for c in rest if c in columns]
-    first = df.groupBy("event_id").agg(F.min(F.struct(*lead, *([F.xxhash64(*rest).alias("_tie")] if rest else []), *kept)).alias("_first"))
-    return first.select(*[F.col("event_id") if c == "event_id" else F.col("_first." + c).alias(c) for c in columns])
+    tie = [F.xxhash64(*rest).alias("_tie")] if rest else []
+    if columns is None:
+        first = df.groupBy("event_id").agg(F.min(F.struct(*lead, *tie, *rest)).alias("_first"))
+        return first.select(*[F.col("event_id") if c == "event_id" else F.col("_first." + c).alias(c) for c in df.columns])
+    carried = [F.when(in_families(*payload_of), F.col(c)).alias(c) if payload_of and c == "payload" else F.col(c) for c in df.columns
+               if c in columns or c in lead or c == "event_id"]
+    order = W.partitionBy("event_id").orderBy(*lead, *(["_tie"] if rest else []))
+    return df.select(*carried, *tie).withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*columns)
 
 
 def ingest_report(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from conftest import event
 
 from spanlake.operators import reduce, validate
-from spanlake.plans import queries_ledger
+from spanlake.plans import queries_ledger, registry
 from spanlake.sources import adapter
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,24 @@ def test_events_that_arrive_again_are_copied_from_the_rows_made(spark, monkeypat
     assert built.exceptAll(plain).isEmpty() and plain.exceptAll(built).isEmpty()
 
 
+def test_copies_go_before_and_after_the_shuffle_without_states(spark):
+    plan = plan_of(queries_ledger.clean_of(adapter.FixtureTables(spark, SF), "llm"))
+    assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan
+
+
+def test_family_of_an_event_type(spark):
+    kinds = ["llm.started", "llm", "llmx.started", "tool.llm", "mcp.failed", None]
+    rows = spark.createDataFrame([(k,) for k in kinds], "event_type string").where(validate.in_families("llm", "mcp")).collect()
+    assert {r.event_type for r in rows} == {"llm.started", "llm", "mcp.failed"}
+
+
+def test_priorities_carry_two_columns_of_an_event(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries_ledger.validate, "dedup_events", lambda df, columns=None, of=None: asked.append(columns) or df)
+    registry.QUERIES["priority_counts"](adapter.FixtureTables(spark, SF))
+    assert asked == [["event_type", "payload"]]
+
+
 def test_raised_counters_meet_finished_calls(ledger, monkeypatch):
     """The wide states of calls are combined once; only counters are raised, by records without a call."""
     def refused(*_):
