@@ -84,6 +84,14 @@ def test_events_that_arrive_again_are_copied_from_the_rows_made(spark, monkeypat
     assert built.exceptAll(plain).isEmpty() and plain.exceptAll(built).isEmpty()
 
 
+def test_orders_are_not_sent_to_every_task(spark):
+    """Their files are small, their rows are not; only nations are sent."""
+    for name in ("owners", "order_events"):
+        plan = plan_of(adapter.FixtureTables(spark, SF).get(name))
+        sent = [row for row in plan.split("\n") if "BroadcastHashJoin" in row]
+        assert sent and all("c_nationkey" in row for row in sent), name
+
+
 def test_copies_go_before_and_after_the_shuffle_without_states(spark):
     plan = plan_of(queries_ledger.clean_of(adapter.FixtureTables(spark, SF), "llm"))
     assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan
