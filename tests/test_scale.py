@@ -92,6 +92,14 @@ def test_orders_are_not_sent_to_every_task(spark):
         assert sent and all("c_nationkey" in row for row in sent), name
 
 
+def test_tasks_that_join_orders_grow_in_number_with_stored_bytes(spark, monkeypatch):
+    monkeypatch.setattr(adapter, "SPREAD_BYTES", 1 << 10)
+    t = adapter.FixtureTables(spark, SF)
+    width = t.width("orders")
+    assert width > spark.sparkContext.defaultParallelism
+    assert "hashpartitioning(o_custkey" in plan_of(t.get("owners")) and f", {width}), REPARTITION_BY_NUM" in plan_of(t.get("owners"))
+
+
 def test_copies_go_before_and_after_the_shuffle_without_states(spark):
     plan = plan_of(queries_ledger.clean_of(adapter.FixtureTables(spark, SF), "llm"))
     assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan
