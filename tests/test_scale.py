@@ -1,5 +1,7 @@
 """Work per task and per shuffled row does not grow with the tables."""
 
+import re
+
 import pytest
 
 from conftest import event
@@ -100,6 +102,23 @@ def test_tasks_that_join_orders_grow_in_number_with_stored_bytes(spark, monkeypa
     assert "hashpartitioning(o_custkey" in plan_of(t.get("owners")) and f", {width}), REPARTITION_BY_NUM" in plan_of(t.get("owners"))
 
 
+def test_tables_of_many_files_are_spread_by_their_bytes(spark, monkeypatch, tmp_path):
+    """A table of many small files is packed into few tasks by its scan and by the joins above it."""
+    for name in ("nation", "part"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("customer", "orders", "lineitem"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(24).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = adapter.FixtureTables(spark, str(tmp_path))
+    stored = sum(f.stat().st_size for f in (tmp_path / "orders.parquet").glob("*.parquet"))
+    monkeypatch.setattr(adapter, "SPREAD_BYTES", stored // 16)
+    assert len(t.get("raw:orders").inputFiles()) > t.width("orders") >= 16
+    for table, key in (("owners", "o_custkey"), ("order_events", "o_orderkey"), ("raw_lines", "l_orderkey")):
+        width = t.width("lineitem" if key == "l_orderkey" else "orders")
+        assert re.search(rf"hashpartitioning\({key}#\d+L?, {width}\), REPARTITION_BY_NUM", plan_of(t.get(table))), table
+    one = adapter.FixtureTables(spark, SF).get("order_events")
+    assert one.exceptAll(t.get("order_events")).isEmpty() and t.get("order_events").exceptAll(one).isEmpty()
+
+
 def test_copies_go_before_and_after_the_shuffle_without_states(spark):
     plan = plan_of(queries_ledger.clean_of(adapter.FixtureTables(spark, SF), "llm"))
     assert plan.count("WindowGroupLimit") == 2 and "SortAggregate" not in plan
