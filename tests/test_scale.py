@@ -6,7 +6,7 @@ import pytest
 
 from conftest import event
 
-from spanlake.operators import reduce, validate
+from spanlake.operators import lists, reduce, validate
 from spanlake.plans import queries_ledger, registry
 from spanlake.sources import adapter
 
@@ -147,3 +147,13 @@ def test_raised_counters_meet_finished_calls(ledger, monkeypatch):
             event(3, "llm.started", 1, {"callId": "d", "runId": "q", "inputTokens": 4}, arrival=3)]
     calls = {r.call_id: r for r in reduce.reduce_llm_calls(ledger(rows)).collect()}
     assert [(calls[c].run_id, calls[c].model, calls[c].input_tokens, calls[c].output_tokens, calls[c].cost_usd) for c in "cd"] == [("r", "m", 7, 9, 0), ("q", "", 4, 0, 0)]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_calls_that_lack_a_trace_or_parent_meet_their_run(spark):
+    plan = optimized(lists.timeline_spans(adapter.FixtureTables(spark, SF)))
+    assert re.search(r"Filter \(?\(?isnull\(trace_id#\d+\) OR isnull\(parent_span_id#\d+\)", plan)
+    assert re.search(r"Filter \(?\(?isnotnull\(trace_id#\d+\) AND isnotnull\(parent_span_id#\d+\)", plan)
