@@ -6,7 +6,7 @@ import pytest
 
 from conftest import event
 
-from spanlake.operators import lists, reduce, validate
+from spanlake.operators import lists, reduce, trace, validate
 from spanlake.plans import queries_ledger, registry
 from spanlake.sources import adapter
 
@@ -149,6 +149,19 @@ def test_raised_counters_meet_finished_calls(ledger, monkeypatch):
     assert [(calls[c].run_id, calls[c].model, calls[c].input_tokens, calls[c].output_tokens, calls[c].cost_usd) for c in "cd"] == [("r", "m", 7, 9, 0), ("q", "", 4, 0, 0)]
 
 
+def shuffles_of(spark, df, key):
+    """Shuffles by the key that a plan makes, without those it reads again."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = plan_of(df.select("*")).split("\n")
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    return sum(f"Exchange hashpartitioning({key}#" in row and "ReusedExchange" not in row for row in rows)
+
+
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -157,3 +170,9 @@ def test_only_calls_that_lack_a_trace_or_parent_meet_their_run(spark):
     plan = optimized(lists.timeline_spans(adapter.FixtureTables(spark, SF)))
     assert re.search(r"Filter \(?\(?isnull\(trace_id#\d+\) OR isnull\(parent_span_id#\d+\)", plan)
     assert re.search(r"Filter \(?\(?isnotnull\(trace_id#\d+\) AND isnotnull\(parent_span_id#\d+\)", plan)
+
+
+def test_spans_of_a_waterfall_are_made_once_and_meet_no_run_or_part(spark):
+    df = trace.waterfall_layout(adapter.FixtureTables(spark, SF))
+    assert "LeftOuter" not in optimized(df)
+    assert shuffles_of(spark, df, "l_orderkey") == 4  # model, tool and server-tool calls, retries
