@@ -176,3 +176,9 @@ def test_spans_of_a_waterfall_are_made_once_and_meet_no_run_or_part(spark):
     df = trace.waterfall_layout(adapter.FixtureTables(spark, SF))
     assert "LeftOuter" not in optimized(df)
     assert shuffles_of(spark, df, "l_orderkey") == 4  # model, tool and server-tool calls, retries
+
+
+def test_spans_of_edges_are_made_once_and_homes_are_asked_by_the_homeless(spark):
+    df = trace.trace_edges(adapter.FixtureTables(spark, SF))
+    assert shuffles_of(spark, df, "l_orderkey") == 4
+    assert re.search(r"Filter isnull\(parent_kind#\d+\)", optimized(df))
