@@ -1,12 +1,15 @@
 """Work per task and per shuffled row does not grow with the tables."""
 
 import re
+from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from conftest import event
+from conftest import T0, event
 
-from spanlake.operators import lists, reduce, trace, validate
+from spanlake.functions.text import packed, unpacked
+from spanlake.operators import diagnostics, lists, reduce, trace, validate
 from spanlake.plans import queries_ledger, registry
 from spanlake.sources import adapter
 
@@ -182,3 +185,36 @@ def test_spans_of_edges_are_made_once_and_homes_are_asked_by_the_homeless(spark)
     df = trace.trace_edges(adapter.FixtureTables(spark, SF))
     assert shuffles_of(spark, df, "l_orderkey") == 4
     assert re.search(r"Filter isnull\(parent_kind#\d+\)", optimized(df))
+
+
+def test_packed_ids_come_back(spark):
+    ids = ["a" * 32, "A" * 32, "0" * 31, "ab", "", "x" * 64, "é-1", "00000001-0000-4000-8000-00000000000a", "00000001-0000-4000-8000-00000000000A", "0000000100004000-8000-00000000-0000a", "-" * 36, None]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").repartition(2).select("id", packed(F.col("id")).alias("code"))
+    got = {r.id: (len(r.code) if r.code is not None else None, r.back) for r in df.select("*", unpacked(F.col("code")).alias("back")).collect()}
+    assert {i: back for i, (_, back) in got.items()} == {i: i for i in ids}
+    assert (got["a" * 32][0], got["00000001-0000-4000-8000-00000000000a"][0], got["A" * 32][0]) == (17, 17, 33)
+
+
+def test_large_and_small_keys_find_the_same_calls(spark):
+    """Records without a place in the sequence too."""
+    cols = "type string, ts timestamp, seq bigint, line_id string, run_id string, session_id string, session_key string, call_id string, provider string, usage_input bigint"
+    at = [T0 + timedelta(minutes=m) for m in (0, 50, 100, 150, 200)]
+    df = spark.createDataFrame([
+        ("model.call.started", at[0], 1, "a1", "r", "s", None, "c1", "p", None), ("model.usage", at[1], 2, "u1", "r", "s", None, None, None, 5),
+        ("model.call.error", at[2], 3, "a2", None, "s", "k", "c2", "q", None), ("model.usage", at[3], 4, "u2", "other", "s", None, None, None, 6),
+        ("model.usage", at[4], None, "u3", "r", "s", "k", None, None, 7), ("model.usage", at[4], 5, "u4", "none", None, None, None, None, 8),
+        ("model.usage", at[4], 6, "u5", None, None, None, None, None, 9)], cols)
+    small = sorted(map(tuple, diagnostics.attribute_usage(df).select("line_id", "call_id", "event_type", "provider", "run_id", "input_tokens").collect()))
+    assert small == [("u1", "c1", "llm.completed", "p", "r", 5), ("u2", "c2", "llm.failed", "q", None, 6), ("u3", "c1", "llm.completed", "p", "r", 7),
+                     ("u4", None, "llm.completed", None, "none", 8), ("u5", None, "llm.completed", None, None, 9)]
+    large = diagnostics.attribute_usage(df, largest=1)
+    assert sorted(map(tuple, large.select("line_id", "call_id", "event_type", "provider", "run_id", "input_tokens").collect())) == small
+
+
+def test_usage_meets_calls_in_one_shuffle_of_narrow_rows(spark):
+    df = diagnostics.attribute_usage(adapter.FixtureTables(spark, SF).diagnostics)
+    plan = optimized(df)
+    assert "_slice" not in plan and "trace_id" not in plan and "channel" not in plan
+    rows = plan.split("\n")
+    scan = next(i for i, row in enumerate(rows) if "Relation" in row and "l_linenumber" in row)
+    assert "Filter" in rows[scan - 1] and "model.usage" in rows[scan - 1]  # other records are left out by the scan
