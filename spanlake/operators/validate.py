@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.once import evaluated
 from ..functions.ordered import SEQUENCE_SLICE, previous, running
+from ..functions.text import packed, unpacked
 from ..schemas import EVENT_TYPES, FUTURE_HOURS, MAX_BATCH_EVENTS, MAX_EVENT_BYTES, SCHEMA_VERSION
 from .filters import instant
 
@@ -128,14 +129,14 @@ def in_families(*families: str) -> Column:
     return reduce(or_, [F.startswith(kind, F.lit(name + ".")) | (kind == name) for name in families])
 
 
-def dedup_events(df: DataFrame, columns: list[str] | None = None, payload_of: tuple[str, ...] | None = None) -> DataFrame:
+def dedup_events(df: DataFrame, columns: list[str] | None = None, of: tuple[str, ...] | None = None) -> DataFrame:
     """The first arrival of each event id, with all or the named columns.
 
     Any number of copies shrinks to one per task before the shuffle.  Whole rows are combined as a minimum per id.  With
     named columns the copies of an id are ordered by arrival and limited to the first, before the shuffle and after it,
-    which sorts rows as they are and makes no states; what is not asked for is not carried: other columns, and payloads of
-    families outside of ``payload_of`` (null then).  Copies that arrive together are ranked by a hash of all other columns,
-    so every form keeps the same copy.
+    which sorts rows as they are and makes no states; ids travel as bytes, and what is not asked for is not carried: other
+    columns, and of families outside of ``of`` all but the id and the order of arrival (null then).  Copies that arrive
+    together are ranked by a hash of all other columns, so every form keeps the same copy.
     """
     lead = [c for c in ("received_at", "producer_id", "sequence", "batch_id") if c in df.columns]
     rest = [c for c in df.columns if c not in lead and c != "event_id"]
@@ -143,10 +144,11 @@ def dedup_events(df: DataFrame, columns: list[str] | None = None, payload_of: tu
     if columns is None:
         first = df.groupBy("event_id").agg(F.min(F.struct(*lead, *tie, *rest)).alias("_first"))
         return first.select(*[F.col("event_id") if c == "event_id" else F.col("_first." + c).alias(c) for c in df.columns])
-    carried = [F.when(in_families(*payload_of), F.col(c)).alias(c) if payload_of and c == "payload" else F.col(c) for c in df.columns
-               if c in columns or c in lead or c == "event_id"]
-    order = W.partitionBy("event_id").orderBy(*lead, *(["_tie"] if rest else []))
-    return df.select(*carried, *tie).withColumn("_copy", F.row_number().over(order)).where("_copy = 1").select(*columns)
+    carried = [F.when(in_families(*of), F.col(c)).alias(c) if of and c not in lead else F.col(c) for c in df.columns
+               if (c in columns or c in lead) and c != "event_id"]
+    order = W.partitionBy("_id").orderBy(*lead, *(["_tie"] if rest else []))
+    first = df.select(packed(F.col("event_id")).alias("_id"), *carried, *tie).withColumn("_copy", F.row_number().over(order)).where("_copy = 1")
+    return first.select(*[unpacked(F.col("_id")).alias(c) if c == "event_id" else c for c in columns])
 
 
 def ingest_report(df: DataFrame) -> DataFrame:
@@ -169,8 +171,9 @@ def sequence_gaps(df: DataFrame) -> DataFrame:
 
 def time_regressions(df: DataFrame) -> DataFrame:
     """Events that happened before an earlier event, by sequence, of the same producer."""
-    rows = running(df, ["producer_id"], ["sequence", "event_id"], F.floor(F.col("sequence") / F.lit(float(SEQUENCE_SLICE))),
-                   {"latest": ("max", F.col("occurred_at"))}, before=True)
+    rows = df.select(packed(F.col("event_id")).alias("_id"), "producer_id", "sequence", "occurred_at")
+    rows = running(rows, ["producer_id"], ["sequence", "event_id"], F.floor(F.col("sequence") / F.lit(float(SEQUENCE_SLICE))),
+                   {"latest": ("max", F.col("occurred_at"))}, before=True, late={"event_id": unpacked(F.col("_id"))})
     return (rows.where("occurred_at < latest")
             .select("event_id", "producer_id", "sequence", "occurred_at", F.col("latest").alias("latest_before")))
 

@@ -218,3 +218,27 @@ def test_usage_meets_calls_in_one_shuffle_of_narrow_rows(spark):
     rows = plan.split("\n")
     scan = next(i for i, row in enumerate(rows) if "Relation" in row and "l_linenumber" in row)
     assert "Filter" in rows[scan - 1] and "model.usage" in rows[scan - 1]  # other records are left out by the scan
+
+
+def test_ids_travel_as_bytes_and_other_families_by_id_and_arrival_only(spark, ledger):
+    t = adapter.FixtureTables(spark, SF)
+    for df in (queries_ledger.clean_of(t, "llm"), queries_ledger.clean(t, "event_id", "producer_id", "sequence", "occurred_at")):
+        plan = optimized(df)
+        assert re.search(r"Window \[row_number\(\).*\[_id#\d+\]", plan)
+    other = validate.dedup_events(ledger([event(1, "llm.started", 0, {"a": 1}), event(2, "tool.started", 0, {"b": 1})]), ["event_id", "event_type", "occurred_at", "received_at"], ("llm",))
+    got = {r.event_id[:8]: (r.event_type, r.occurred_at, r.received_at) for r in other.collect()}
+    assert got == {"00000001": ("llm.started", T0, T0 + timedelta(seconds=1)), "00000002": (None, None, T0 + timedelta(seconds=2))}
+
+
+def test_an_earlier_copy_of_another_family_still_counts(ledger):
+    first, later = event(1, "tool.started", 0, {}, arrival=1), event(1, "llm.started", 0, {"callId": "c"}, arrival=2)
+    df = validate.dedup_events(ledger([later, first]), ["event_id", "event_type"], ("llm",))
+    assert df.where(validate.in_families("llm")).isEmpty() and df.count() == 1
+
+
+def test_regressions_shuffle_ids_as_bytes_and_order_them_as_text(spark):
+    at = [T0 + timedelta(minutes=m) for m in range(3)]
+    rows = [("zz", "p", 1, at[0]), ("ab" * 16, "p", 1, at[2]), ("AB", "p", 1, at[1]), ("cd" * 16, "p", 2, at[1])]
+    df = validate.time_regressions(spark.createDataFrame(rows, "event_id string, producer_id string, sequence bigint, occurred_at timestamp"))
+    assert sorted((r.event_id, r.latest_before) for r in df.collect()) == [("cd" * 16, at[2]), ("zz", at[2])]
+    assert re.search(r"RepartitionByExpression[^\n]*\n[^\n]*Project [^\n]* AS _id#", optimized(df))
