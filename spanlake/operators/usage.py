@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.frames import plain_columns
 from ..functions.lineage import written
 from ..functions.ordered import volume_slices
+from ..functions.text import packed, unpacked
 from ..schemas import ARRIVAL
 
 RUN = ["instance_id", "home"]
@@ -167,7 +168,9 @@ def newest_calls(events: DataFrame, records: DataFrame, largest: int = LARGEST)
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in FIELDS]
     time = [F.coalesce(F.unix_micros(c), F.lit(NEVER)).alias(c) for c in ("start", "end")]
     nothing = F.lit(None).cast(records.schema["raise"].dataType).alias("raise")
-    mine = events.join(homes, ["instance_id", "call_id"]).select(F.lit(EVENT).alias("kind"), *RUN, "call_id", *ARRIVAL, *text, *time, nothing)
+    # most events are of calls that no record can mean; their ids travel as bytes to that join
+    met = events.withColumn("event_id", packed(F.col("event_id"))).join(homes, ["instance_id", "call_id"]).withColumn("event_id", unpacked(F.col("event_id")))
+    mine = met.select(F.lit(EVENT).alias("kind"), *RUN, "call_id", *ARRIVAL, *text, *time, nothing)
     asked = records.select(F.lit(RECORD).alias("kind"), "instance_id", F.col("run_id").alias("home"), F.lit(None).cast("string").alias("call_id"), *ARRIVAL, *text,
                            F.lit(NEVER).alias("start"), F.lit(NEVER).alias("end"), "raise")
     rows = written(mine.unionByName(asked))

@@ -242,3 +242,10 @@ def test_regressions_shuffle_ids_as_bytes_and_order_them_as_text(spark):
     df = validate.time_regressions(spark.createDataFrame(rows, "event_id string, producer_id string, sequence bigint, occurred_at timestamp"))
     assert sorted((r.event_id, r.latest_before) for r in df.collect()) == [("cd" * 16, at[2]), ("zz", at[2])]
     assert re.search(r"RepartitionByExpression[^\n]*\n[^\n]*Project [^\n]* AS _id#", optimized(df))
+
+
+def test_rows_of_calls_name_their_arrival_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(reduce, "written", lambda df, *codec: seen.append((df.columns, codec)) or df)
+    rows = reduce.call_rows(queries_ledger.clean_of(adapter.FixtureTables(spark, SF), "llm"))
+    assert "_ord" not in seen[0][0] and seen[0][1] == ("zstd",) and "_ord" in rows.columns
