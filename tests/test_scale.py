@@ -249,3 +249,15 @@ def test_rows_of_calls_name_their_arrival_once(spark, monkeypatch):
     monkeypatch.setattr(reduce, "written", lambda df, *codec: seen.append((df.columns, codec)) or df)
     rows = reduce.call_rows(queries_ledger.clean_of(adapter.FixtureTables(spark, SF), "llm"))
     assert "_ord" not in seen[0][0] and seen[0][1] == ("zstd",) and "_ord" in rows.columns
+
+
+def test_large_and_small_calls_fold_alike_and_small_ones_are_dealt_as_rows(spark, ledger):
+    rows = [event(n, f"llm.{('started', 'completed')[n % 2]}", n, {"callId": f"c{n // 3}", "runId": "r", "model": f"m{n}", "inputTokens": n}, arrival=90 - n, ident=("ab" * 16, f"{n:032x}")[n > 0])
+            for n in range(7)] + [event(9, "llm.started", 0, {"runId": "r"})]
+    made = reduce.call_rows(ledger(rows))
+    plain = sorted(map(str, reduce.finish(reduce.fold_rows(made, reduce.LLM), reduce.LLM).collect()))
+    for largest in (0, 2, reduce.LARGEST):
+        assert sorted(map(str, reduce.finish(reduce.fold_dealt(made, reduce.LLM, largest=largest), reduce.LLM).collect())) == plain
+    assert len(plain) == 3
+    plan = plan_of(reduce.reduce_llm_calls(ledger(rows)))
+    assert re.search(r"Exchange hashpartitioning\(instance_id#\d+, call_id#\d+, \d+\), REPARTITION_BY_COL", plan)
