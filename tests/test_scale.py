@@ -261,3 +261,10 @@ def test_large_and_small_calls_fold_alike_and_small_ones_are_dealt_as_rows(spark
     assert len(plain) == 3
     plan = plan_of(reduce.reduce_llm_calls(ledger(rows)))
     assert re.search(r"Exchange hashpartitioning\(instance_id#\d+, call_id#\d+, \d+\), REPARTITION_BY_COL", plan)
+
+
+def test_matching_alone_writes_the_columns_it_needs(spark, ledger, monkeypatch):
+    seen = []
+    monkeypatch.setattr(reduce, "written", lambda df, *codec: seen.append(df.columns) or df)
+    reduce.match_usage(ledger([event(1, "llm.started", 0, {"callId": "c", "runId": "r"})]))
+    assert "run_id" in seen[0] and "duration_ms" not in seen[0] and "_ord" not in seen[0]
